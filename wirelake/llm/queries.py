@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from wirelake.llm import exact_dedup, mixing
+from wirelake.llm import exact_dedup, html_wrappers, mixing, pii, token_counts
 
-MODULES = (exact_dedup, mixing)
+MODULES = (pii, mixing, token_counts, html_wrappers, exact_dedup)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in getattr(module, "SQL", {}).items()}
