@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from wirelake.llm import exact_dedup, html_wrappers, jaccard_join, mixing, pii, token_counts
+from wirelake.llm import decontamination, exact_dedup, html_wrappers, jaccard_join, mixing, pii, token_counts
 
-MODULES = (pii, mixing, token_counts, jaccard_join, html_wrappers, exact_dedup)
+MODULES = (pii, mixing, token_counts, jaccard_join, html_wrappers, exact_dedup, decontamination)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in getattr(module, "SQL", {}).items()}
