@@ -230,6 +230,31 @@ def align_all(both: DataFrame, kind: str) -> DataFrame:
     return both.mapInArrow(run, f"id {kind}, first_id {kind}, start int, end int, first_start int, first_end int, edits int")
 
 
+def joined_pieces(found: list[dict]) -> list[list]:
+    """[start, end, first id, edits] of the passages that pieces make.
+
+    A piece continues a passage if it touches its end and leads to another first document, or further on in
+    the same one: shifted matches of one repeated line with itself make no longer passage.
+    """
+    out: list[list] = []
+    reached: dict = {}  # how far the open passage has come in each first document
+    longest = 0
+    for x in sorted(found, key=lambda x: (x["start"], -x["end"])):
+        first, length = x["first_id"], x["end"] - x["start"]
+        if out and x["end"] <= out[-1][1]:
+            continue
+        if out and x["start"] <= out[-1][1] + TOUCH and x["first_end"] > reached.get(first, -1):
+            out[-1][1] = x["end"]
+            out[-1][3] += x["edits"]
+            if length > longest:
+                out[-1][2], longest = first, length
+        else:
+            out.append([x["start"], x["end"], first, x["edits"]])
+            reached, longest = {}, length
+        reached[first] = x["first_end"]
+    return out
+
+
 def join_pieces(pieces: DataFrame, kind: str) -> DataFrame:
     """(id, start, end, first_id, edits): pieces of a document that overlap or nearly touch, joined; first_id is the longest piece's."""
 
@@ -237,22 +262,9 @@ def join_pieces(pieces: DataFrame, kind: str) -> DataFrame:
         for batch in batches:
             rows, out = [], []
             for row, found in enumerate(batch.column("pieces").to_pylist()):
-                now = None
-                for x in sorted(found, key=lambda x: (x["start"], -x["end"])):
-                    if now and x["start"] <= now[1] + TOUCH:
-                        if x["end"] > now[1]:
-                            now[3] += x["edits"]
-                            now[1] = x["end"]
-                        if (length := x["end"] - x["start"]) > now[4]:
-                            now[2], now[4] = x["first_id"], length
-                        continue
-                    if now:
-                        rows.append(row)
-                        out.append(now)
-                    now = [x["start"], x["end"], x["first_id"], x["edits"], x["end"] - x["start"]]
-                if now:
-                    rows.append(row)
-                    out.append(now)
+                joined = joined_pieces(found)
+                rows += [row] * len(joined)
+                out += joined
             own = batch.column("id")
             yield pa.RecordBatch.from_arrays(
                 [own.take(pa.array(rows, pa.int64())), pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], own.type), pa.array([o[3] for o in out], pa.int32())],
@@ -289,7 +301,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     length = F.col("end") - F.col("start")
     pieces = align_all(both, kind).where((length >= PIECE_WORDS) & (F.col("edits") <= length * (1 - IDENTITY)))
-    grouped = pieces.groupBy("id").agg(F.collect_list(F.struct("start", "end", "first_id", "edits")).alias("pieces"))
+    grouped = pieces.groupBy("id").agg(F.collect_list(F.struct("start", "end", "first_id", "first_end", "edits")).alias("pieces"))
     passages = join_pieces(grouped, kind).where(length >= PASSAGE_WORDS)
     return passages.select(F.col("id").alias(id_col), F.col("start").alias("start_word"), F.col("end").alias("end_word"), length.alias("n_words"), "first_id", "edits")
 
