@@ -233,8 +233,8 @@ def align_all(both: DataFrame, kind: str) -> DataFrame:
 def joined_pieces(found: list[dict]) -> list[list]:
     """[start, end, first id, edits] of the passages that pieces make.
 
-    A piece continues a passage if it touches its end and leads to another first document, or further on in
-    the same one: shifted matches of one repeated line with itself make no longer passage.
+    A piece continues a passage if it touches its end and is itself long enough, or leads to another first document or
+    further on in the same one: shifted matches of one short repeated line with itself add up to nothing.
     """
     out: list[list] = []
     reached: dict = {}  # how far the open passage has come in each first document
@@ -243,7 +243,7 @@ def joined_pieces(found: list[dict]) -> list[list]:
         first, length = x["first_id"], x["end"] - x["start"]
         if out and x["end"] <= out[-1][1]:
             continue
-        if out and x["start"] <= out[-1][1] + TOUCH and x["first_end"] > reached.get(first, -1):
+        if out and x["start"] <= out[-1][1] + TOUCH and (length >= PASSAGE_WORDS or x["first_end"] > reached.get(first, -1)):
             out[-1][1] = x["end"]
             out[-1][3] += x["edits"]
             if length > longest:
