@@ -6,8 +6,8 @@ that must meet the prefix of every class it links with. Prefix shingles that onl
 dropped; classes with equal size and equal prefix then collapse into one group.
 
 Group pairs come from pivots: each prefix shingle's most central group meets the other groups of its
-bucket, so a bucket gives a linear number of pairs. Pairs expand to members, and each member's set is
-intersected with the pivot's. Linked classes are joined into components. What is left are pairs of
+bucket, so a bucket gives a linear number of pairs. Pairs expand to members; parity signatures, whose difference
+bounds the sets' difference from below, drop most pairs, and the sets of the others are intersected. Linked classes are joined into components. What is left are pairs of
 different components in one bucket; the triangle inequality over the distances to the bucket's pivot
 rules out most, more pivots connect most of the others, and every pair that is left is verified. So no
 link between different components is lost, and a bucket of near copies never gives all its pairs.
@@ -29,8 +29,9 @@ from wirelake.llm.components import components
 
 #: Counters of the sketch and counters in one of its rows.
 SKETCH, ROW = 1 << 18, 1 << 12
-#: Rounds of further pivots go on while the pairs that are left outnumber the index rows by this factor.
-PAIRS_PER_ROW, MOST_ROUNDS = 2, 6
+#: A bucket whose pairs of different components outnumber its rows by this factor is hot. Hot buckets get further
+#: pivots for this many rounds at most, and signatures of COARSE 64-bit words are tested within their join.
+PAIRS_PER_ROW, MOST_ROUNDS, COARSE = 2, 2, 16
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
@@ -50,6 +51,30 @@ def class_id(shingles: np.ndarray) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    """Bit i: whether an odd number of the set's hashes fall on i. Two bits or more for each shingle, a power of two."""
+    bits = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def least_difference(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the symmetric difference: equal shingles cancel out. A longer signature folds onto a shorter one."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        half = len(x) // 2
+        x = x[:half] ^ x[half:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def coarse(sig: bytes) -> np.ndarray:
+    """A signature folded to COARSE words, or padded to them."""
+    x = np.frombuffer(sig, np.uint8)
+    while len(x) > COARSE * 8:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return np.pad(x, (0, COARSE * 8 - len(x))).view(np.int64)
+
+
 def sets_of(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         for part, texts in slices(batch):
@@ -101,13 +126,13 @@ def sum_sketch(parts: DataFrame) -> np.ndarray:
 
 
 def prefixes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """(cid, n, prefix): one row for each row with shingles. The rarest shingles first, ties by hash."""
+    """(cid, n, prefix, sig): one row for each row with shingles. The rarest shingles first, ties by hash."""
     shared = rows.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for _, sets in sets_of(batches, k):
-            cids, sizes, tokens = [], [], []
+            cids, sizes, tokens, sigs = [], [], [], []
             for s in sets:
                 if len(s):
                     size = len(s) - (-(-percent * len(s) // 100)) + 1
@@ -115,9 +140,10 @@ def prefixes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataF
                     cids.append(class_id(s))
                     sizes.append(len(s))
                     tokens.append(s[first].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["cid", "n", "prefix"])
+                    sigs.append(parities(s))
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["cid", "n", "prefix", "sig"])
 
-    return rows.mapInArrow(run, "cid long, n long, prefix array<long>")
+    return rows.mapInArrow(run, "cid long, n long, prefix array<long>, sig binary")
 
 
 def fetch_sets(rows: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
@@ -144,6 +170,25 @@ def fetch_sets(rows: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
     return found.join(wanted.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.first("shingles").alias("shingles"))
 
 
+def sift(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b) with the least distance that their signatures allow, and whether they may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least, maybe = [], []
+            for x, y, n, m in zip(batch.column("x"), batch.column("y"), batch.column("xn").to_pylist(), batch.column("yn").to_pylist(), strict=True):
+                h = least_difference(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8))
+                h = max(h, abs(n - m))
+                common, whole = (n + m - h) / 2, (n + m + h) / 2
+                least.append(1 - common / whole)
+                maybe.append(100 * (n + m - h) >= percent * (n + m + h))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(least, pa.float64()), pa.array(maybe, pa.bool_())], names=["a", "b", "least", "maybe"])
+
+    left = pairs.join(sigs.select(F.col("cid").alias("a"), F.col("sig").alias("x"), F.col("n").alias("xn")), "a")
+    both = left.join(sigs.select(F.col("cid").alias("b"), F.col("sig").alias("y"), F.col("n").alias("yn")), "b")
+    return both.select("a", "b", "x", "y", "xn", "yn").mapInArrow(run, "a long, b long, least double, maybe boolean")
+
+
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b) with the exact sizes of intersection and union."""
 
@@ -162,12 +207,53 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, common long, whole long")
 
 
+def coarse_words(sigs: DataFrame) -> DataFrame:
+    """(cid, words, len): signatures folded to COARSE words or padded to them, and the length that they have then."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column("sig").to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("cid"), pa.array([coarse(s) for s in raw], pa.list_(pa.int64())), pa.array([min(len(s), COARSE * 8) for s in raw], pa.int32())],
+                names=["cid", "words", "len"],
+            )
+
+    return sigs.mapInArrow(run, "cid long, words array<long>, len int")
+
+
+class Verifier:
+    """Exact tests of pairs. Sets are fetched by a scan for those pairs that signatures let through, and kept."""
+
+    def __init__(self, rows: DataFrame, k: int, percent: int, sigs: DataFrame):
+        self.rows, self.k, self.percent, self.sigs = rows, k, percent, sigs
+        self.sets: DataFrame | None = None
+
+    def test(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(all pairs with low and high bounds of their distance, the pairs that link)."""
+        sifted = stage(sift(pairs, self.sigs, self.percent), "jaccard-sifted")
+        maybe = sifted.where("maybe").select("a", "b")
+        wanted = maybe.select(F.col("a").alias("cid")).unionByName(maybe.select(F.col("b").alias("cid"))).distinct()
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("cid"), "cid", "left_anti")
+        wanted = stage(wanted, "jaccard-wanted")
+        if not wanted.isEmpty():
+            more = stage(fetch_sets(self.rows, self.k, wanted), "jaccard-sets")
+            self.sets = more if self.sets is None else self.sets.unionByName(more)
+        if self.sets is None:
+            exact = sifted.limit(0).select("a", "b", F.lit(0).cast("long").alias("common"), F.lit(1).cast("long").alias("whole"))
+        else:
+            exact = stage(overlaps(maybe, self.sets), "jaccard-exact")
+        distance = exact.select("a", "b", (1 - F.col("common") / F.col("whole")).alias("d"))
+        bounds = sifted.join(distance, ["a", "b"], "left").select("a", "b", F.coalesce("d", "least").alias("low"), F.coalesce("d", F.lit(1.0)).alias("high"))
+        return bounds, exact.where(F.col("common") * 100 >= F.col("whole") * self.percent).select("a", "b")
+
+
 def link_classes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFrame:
     """(cid, root) of the classes that link with another: root is the smallest class of the component."""
     far = 1 - percent / 100 + 1e-9
-    linked = F.col("common") * 100 >= F.col("whole") * percent
-    classes = prefixes(rows, k, percent, sketch).groupBy("cid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    index = stage(classes.select("cid", "n", F.size("prefix").alias("length"), F.explode("prefix").alias("token")), "jaccard-index")
+    classes = prefixes(rows, k, percent, sketch).groupBy("cid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sig").alias("sig"))
+    classes = stage(classes, "jaccard-classes")
+    index = classes.select("cid", "n", F.size("prefix").alias("length"), F.explode("prefix").alias("token"))
     shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("bucket")).where("bucket > 1").select("token")
     live = stage(index.join(shared, "token"), "jaccard-live")
     # classes of equal size and equal shared prefix are one group, named after its smallest class
@@ -175,7 +261,7 @@ def link_classes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> D
     groups = keyed.groupBy("n", "key").agg(F.min("cid").alias("gid"))
     # prefix shingles of its own set a class apart: the fewer, the more central
     members = stage(keyed.join(groups, ["n", "key"]).select("cid", "gid", "n", (F.col("length") - F.col("shared")).alias("own")), "jaccard-members")
-    sets = stage(fetch_sets(rows, k, members.select("cid")), "jaccard-sets")
+    verifier = Verifier(rows, k, percent, classes.select("cid", "n", "sig"))
     placed = live.select("token", "cid").join(members, "cid")
     heads = placed.where("cid = gid").select("token", "gid", "n", "own")
     pivots = heads.groupBy("token").agg(F.min(F.struct("own", F.xxhash64("gid").alias("h"), "gid")).alias("p")).select("token", F.col("p.gid").alias("pivot"))
@@ -184,16 +270,18 @@ def link_classes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> D
     group_pairs = heads.join(pivots, "token").where("gid <> pivot").select("gid", "pivot").distinct()
     first = members.select("cid", "gid").join(group_pairs, "gid").select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
     own = members.where("cid <> gid").select(F.col("cid").alias("a"), F.col("gid").alias("b"))
-    checked = stage(overlaps(first.unionByName(own).distinct(), sets), "jaccard-checked")
-    edges = checked.where(linked).select("a", "b")
+    bounds, edges = verifier.test(first.unionByName(own).distinct())
     labels = stage(components(edges), "jaccard-labels")
     # distance of each row to its bucket's pivot; a member of the pivot's own group was checked against its head
-    at = checked.select(F.col("a").alias("cid"), F.col("b").alias("pivot"), (1 - F.col("common") / F.col("whole")).alias("d"))
+    at = bounds.select(F.col("a").alias("cid"), F.col("b").alias("pivot"), "low", "high")
+    is_pivot = F.col("cid") == F.col("pivot")
     placed = stage(
-        placed.join(pivots, "token").join(at, ["cid", "pivot"], "left").select("token", "cid", "n", "gid", F.when(F.col("cid") == F.col("pivot"), 0.0).otherwise(F.col("d")).alias("d")),
+        placed.join(pivots, "token")
+        .join(at, ["cid", "pivot"], "left")
+        .select("token", "cid", "n", F.when(is_pivot, 0.0).otherwise(F.coalesce("low", F.lit(0.0))).alias("low"), F.when(is_pivot, 0.0).otherwise(F.coalesce("high", F.lit(1.0))).alias("high")),
         "jaccard-placed",
     )
-    rounds = 0
+    rounds, linked_now = 0, True
     while True:
         now = placed.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
         sizes = now.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64(F.col("cid") + rounds).alias("h"), "cid")).alias("some"))
@@ -204,28 +292,35 @@ def link_classes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> D
             .select("token", "rows", ((F.col("rows") * F.col("rows") - F.col("same")) / 2).alias("left"), F.col("top.label").alias("top"), F.col("top.some.cid").alias("pivot")),
             "jaccard-open",
         )
-        total, rows_left = buckets.agg(F.coalesce(F.sum("left"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
-        if not total:
+        if buckets.isEmpty():
             break
-        open_rows = now.join(buckets.select("token", "top", "pivot"), "token")
-        if total > PAIRS_PER_ROW * rows_left and rounds < MOST_ROUNDS:
+        open_rows = now.join(buckets.select("token", "top", "pivot", (F.col("left") > PAIRS_PER_ROW * F.col("rows")).alias("hot")), "token")
+        if rounds < MOST_ROUNDS and linked_now and not buckets.where(F.col("left") > PAIRS_PER_ROW * F.col("rows")).isEmpty():
             rounds += 1
-            pairs = open_rows.where("label <> top").select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct()
-            more = stage(overlaps(pairs, sets).where(linked).select("a", "b"), "jaccard-more")
+            pairs = open_rows.where("hot and label <> top").select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct()
+            more = verifier.test(pairs)[1]
+            linked_now = not more.isEmpty()
             edges = edges.unionByName(more)
             labels = stage(components(edges), "jaccard-labels")
             continue
-        x = open_rows.select("token", F.col("cid").alias("a"), F.col("n").alias("an"), F.col("d").alias("ad"), F.col("label").alias("al"))
-        y = open_rows.select("token", F.col("cid").alias("b"), F.col("n").alias("bn"), F.col("d").alias("bd"), F.col("label").alias("bl"))
+        sides = [open_rows.select("token", "hot", *(F.col(c).alias(side + c) for c in ("cid", "n", "low", "high", "label"))) for side in "xy"]
         near = (
-            (F.col("a") < F.col("b"))
-            & (F.col("al") != F.col("bl"))
-            & (F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent)
-            & F.coalesce(F.abs(F.col("ad") - F.col("bd")) <= far, F.lit(True))
+            (F.col("xcid") < F.col("ycid"))
+            & (F.col("xlabel") != F.col("ylabel"))
+            & (F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * percent)
+            & (F.col("xlow") - F.col("yhigh") <= far)
+            & (F.col("ylow") - F.col("xhigh") <= far)
         )
-        pairs = x.join(y, "token").where(near).select("a", "b").distinct()
-        last = stage(overlaps(pairs, sets).where(linked).select("a", "b"), "jaccard-last")
-        labels = stage(components(edges.unionByName(last)), "jaccard-labels")
+        cold = sides[0].where("not hot").join(sides[1].where("not hot").drop("hot"), "token").where(near)
+        coarse_sigs = coarse_words(classes.select("cid", "sig"))
+        hot = [df.where("hot").drop("hot").join(coarse_sigs.withColumnsRenamed({"cid": f"{side}cid", "words": f"{side}words"}), f"{side}cid") for side, df in zip("xy", sides, strict=True)]
+        differ = F.aggregate(F.zip_with("xwords", "ywords", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, c: acc + c)
+        may_link = (F.col("xn") + F.col("yn") - differ) * 100 >= (F.col("xn") + F.col("yn") + differ) * percent
+        # signatures of very different lengths aren't comparable once padded; sizes within the threshold differ by one doubling at most
+        alike = F.col("xlen") == F.col("ylen")
+        hot_pairs = hot[0].withColumnRenamed("len", "xlen").join(hot[1].withColumnRenamed("len", "ylen"), "token").where(near & (~alike | may_link))
+        pairs = cold.select("xcid", "ycid").unionByName(hot_pairs.select("xcid", "ycid")).distinct().toDF("a", "b")
+        labels = stage(components(edges.unionByName(verifier.test(pairs)[1])), "jaccard-labels")
         break
     return labels.select(F.col("node").alias("cid"), F.col("label").alias("root"))
 
