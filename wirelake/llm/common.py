@@ -50,7 +50,16 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wirelake/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._wirelake_path = path
+    return out
+
+
+def drop_stage(df: DataFrame) -> None:
+    """Removes a staged table that nothing will read again."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._wirelake_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bitmap_rows(df: DataFrame, hashed: Column, bits: int = FILTER_BITS) -> DataFrame:
@@ -94,6 +103,19 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, kept for words met before."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+HASHES = WordHashes()
+
+
 def word_stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts in turn, and where each text's words begin (one more at the end)."""
     starts = np.zeros(len(texts) + 1, np.int64)
@@ -101,7 +123,7 @@ def word_stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for i, t in enumerate(texts):
         words = words_of(t)
         starts[i + 1] = starts[i] + len(words)
-        parts.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+        parts.append(np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words)))
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), starts
 
 

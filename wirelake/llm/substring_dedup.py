@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import collect_bitmap, grams, in_bitmap, mix, slices, stage, table, word_stream
+from wirelake.llm.common import collect_bitmap, drop_stage, grams, in_bitmap, mix, slices, stage, table, word_stream
 
 #: Words in a seed, and seeds among which the least is chosen: any run of K + PICK - 1 equal words shares a seed.
 K, PICK = 8, 16
@@ -25,6 +25,8 @@ K, PICK = 8, 16
 LINK, GAP = 8.0, 0.5
 #: Words beyond a chain's ends that alignment may take in.
 FLANK = 48
+#: Links of one document farther apart than this belong to different passages.
+APART = 64
 #: Extension stops when its score (1 for a word that agrees, -MISS otherwise) falls by DROP.
 MISS, DROP = 2, 8
 #: Least words of an aligned piece, least share of words that agree, and most words between pieces that touch.
@@ -96,6 +98,23 @@ def chains(links: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     return out
 
 
+def promising(links: list[dict]) -> list[dict]:
+    """The links that can belong to a passage.
+
+    A run of PASSAGE_WORDS equal words has a seed among its first PICK k-mers and one among its last, so its links span
+    PASSAGE_WORDS - 2 * (PICK - 1) words or more, whichever documents they lead to.
+    """
+    links = sorted(links, key=lambda x: x["pos"])
+    out: list[dict] = []
+    start = 0
+    for i in range(1, len(links) + 1):
+        if i == len(links) or links[i]["pos"] - links[i - 1]["pos"] > APART:
+            if links[i - 1]["pos"] + K - links[start]["pos"] >= PASSAGE_WORDS - 2 * (PICK - 1):
+                out += links[start:i]
+            start = i
+    return out
+
+
 def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
     """Word edits between two runs; long ones are charged by their longer length less the words both have in order of greed."""
     if len(a) * len(b) > 40_000:
@@ -196,7 +215,7 @@ def chain_links(links: DataFrame, kind: str) -> DataFrame:
             ids, firsts, here, there = [], [], [], []
             for row, found in zip(range(batch.num_rows), batch.column("links").to_pylist(), strict=True):
                 by: dict = {}
-                for x in found:
+                for x in promising(found):
                     by.setdefault(x["first_id"], []).append((x["pos"], x["first_pos"]))
                 for first, pairs in by.items():
                     for chain in chains(pairs):
@@ -288,6 +307,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared = stage(first.where("first.id < last").select("seed", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos")), "substring-shared")
     links = seeds.join(shared, "seed").where("id > first_id").groupBy("id").agg(F.collect_list(F.struct("pos", "first_id", "first_pos")).alias("links"))
     found = stage(chain_links(links, kind).withColumn("chain", F.monotonically_increasing_id()), "substring-chains")
+    drop_stage(seeds)
+    drop_stage(shared)
     ends = [(F.col(c)[0], F.element_at(c, -1) + K) for c in ("places", "firsts")]
     low = [F.greatest(F.lit(0), a - FLANK) for a, _ in ends]
     asked = [found.select("chain", F.col(i).alias("id"), lo.alias("lo"), (b + FLANK).alias("hi")) for i, lo, (_, b) in zip(("id", "first_id"), low, ends, strict=True)]
