@@ -75,11 +75,27 @@ def coarse(sig: bytes) -> np.ndarray:
     return np.pad(x, (0, COARSE * 8 - len(x))).view(np.int64)
 
 
+def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """The shingle set of each text; shingles of all texts are hashed in one go."""
+    hashes, starts = word_stream(texts)
+    all_grams = grams(hashes, k)
+    return [
+        np.unique(all_grams[starts[i] : starts[i + 1] - k + 1]) if starts[i + 1] - starts[i] >= k else shingle_set(hashes[starts[i] : starts[i + 1]], k)
+        for i in range(len(texts))
+    ]
+
+
 def sets_of(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         for part, texts in slices(batch):
-            hashes, starts = word_stream(texts)
-            yield part, [shingle_set(hashes[starts[i] : starts[i + 1]], k) for i in range(len(texts))]
+            yield part, shingle_sets(texts, k)
+
+
+def rarest(shingles: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """The first size shingles in the common order: by count, then hash."""
+    key = (np.minimum(counts[(shingles & np.uint64(SKETCH - 1)).astype(np.int64)], np.uint64((1 << 24) - 1)) << np.uint64(40)) | (shingles >> np.uint64(24))
+    first = np.argpartition(key, size - 1)[:size] if size < len(shingles) else np.arange(len(shingles))
+    return shingles[first[np.argsort(key[first])]]
 
 
 def scan_classes(rows: DataFrame, k: int, kind: str) -> DataFrame:
@@ -136,10 +152,9 @@ def prefixes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataF
             for s in sets:
                 if len(s):
                     size = len(s) - (-(-percent * len(s) // 100)) + 1
-                    first = np.lexsort((s, counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))[:size]
                     cids.append(class_id(s))
                     sizes.append(len(s))
-                    tokens.append(s[first].view(np.int64))
+                    tokens.append(rarest(s, counts, size).view(np.int64))
                     sigs.append(parities(s))
             yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["cid", "n", "prefix", "sig"])
 
@@ -147,26 +162,21 @@ def prefixes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataF
 
 
 def fetch_sets(rows: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """(cid, shingles) of the wanted classes: a scan that a bitmap of the ids thins, then an exact semi-join."""
-    bitmap = collect_bitmap(wanted, F.col("cid"), FILTER_BITS)
+    """(cid, shingles) of the wanted classes (cid, least): a bitmap of the ids thins the scan before any text is hashed."""
+    bitmap = collect_bitmap(wanted, F.xxhash64("least"), FILTER_BITS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap, np.uint8)
-        done: set[int] = set()
-        for _, sets in sets_of(batches, k):
-            cids = np.array([class_id(s) for s in sets], np.int64)
-            cid_out, sets_out = [], []
-            for i in np.flatnonzero(in_bitmap(bits, cids)):
-                c = int(cids[i])
-                if c not in done:
-                    if len(done) > 200_000:
-                        done.clear()
-                    done.add(c)
-                    cid_out.append(c)
-                    sets_out.append(sets[i].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cid_out, pa.int64()), pa.array(sets_out, pa.binary())], names=["cid", "shingles"])
-
-    found = rows.mapInArrow(run, "cid long, shingles binary")
+        for batch in batches:
+            hit = in_bitmap(bits, batch.column("h").to_numpy())
+            if hit.any():
+                yield batch.filter(pa.array(hit))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in sets_of(thin(batches), k):
+            yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "shingles"])
+
+    found = rows.withColumn("h", F.xxhash64("id")).select("h", "text").mapInArrow(run, "cid long, shingles binary")
     return found.join(wanted.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.first("shingles").alias("shingles"))
 
 
@@ -224,8 +234,8 @@ def coarse_words(sigs: DataFrame) -> DataFrame:
 class Verifier:
     """Exact tests of pairs. Sets are fetched by a scan for those pairs that signatures let through, and kept."""
 
-    def __init__(self, rows: DataFrame, k: int, percent: int, sigs: DataFrame):
-        self.rows, self.k, self.percent, self.sigs = rows, k, percent, sigs
+    def __init__(self, rows: DataFrame, k: int, percent: int, sigs: DataFrame, least: DataFrame):
+        self.rows, self.k, self.percent, self.sigs, self.least = rows, k, percent, sigs, least
         self.sets: DataFrame | None = None
 
     def test(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -235,7 +245,7 @@ class Verifier:
         wanted = maybe.select(F.col("a").alias("cid")).unionByName(maybe.select(F.col("b").alias("cid"))).distinct()
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("cid"), "cid", "left_anti")
-        wanted = stage(wanted, "jaccard-wanted")
+        wanted = stage(wanted.join(self.least, "cid"), "jaccard-wanted")
         if not wanted.isEmpty():
             more = stage(fetch_sets(self.rows, self.k, wanted), "jaccard-sets")
             self.sets = more if self.sets is None else self.sets.unionByName(more)
@@ -248,26 +258,38 @@ class Verifier:
         return bounds, exact.where(F.col("common") * 100 >= F.col("whole") * self.percent).select("a", "b")
 
 
-def link_classes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """(cid, root) of the classes that link with another: root is the smallest class of the component."""
+def reachable(n: str, m: str, pos: str, other: str, percent: int) -> F.Column:
+    """Whether two sets of sizes n and m whose first common shingle stands at these places of the order may link."""
+    rest = F.least(F.col(n) - F.col(pos), F.col(m) - F.col(other))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (rest * (100 + percent) >= (F.col(n) + F.col(m)) * percent)
+
+
+def link_classes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray, least: DataFrame) -> DataFrame:
+    """(cid, root) of the classes that link with another: root is the smallest class of the component.
+
+    rows has id and text; least has the smallest id of each class, (cid, least).
+    """
     far = 1 - percent / 100 + 1e-9
-    classes = prefixes(rows, k, percent, sketch).groupBy("cid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sig").alias("sig"))
+    classes = prefixes(rows.select("text"), k, percent, sketch).groupBy("cid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sig").alias("sig"))
     classes = stage(classes, "jaccard-classes")
-    index = classes.select("cid", "n", F.size("prefix").alias("length"), F.explode("prefix").alias("token"))
+    # sizes of linking classes differ by one band at most, so each shingle is indexed under its band and the next
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(percent / 100))).cast("int") if percent < 100 else F.col("n").cast("int")
+    entries = classes.select("cid", "n", F.size("prefix").alias("length"), band.alias("band"), F.posexplode("prefix").alias("pos", "shingle"))
+    index = entries.select("cid", "n", "length", "pos", F.posexplode(F.array(F.xxhash64("shingle", "band"), F.xxhash64("shingle", F.col("band") + 1))).alias("next", "token"))
     shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("bucket")).where("bucket > 1").select("token")
     live = stage(index.join(shared, "token"), "jaccard-live")
     # classes of equal size and equal shared prefix are one group, named after its smallest class
     keyed = live.groupBy("cid").agg(F.first("n").alias("n"), F.first("length").alias("length"), F.xxhash64(F.array_sort(F.collect_list("token"))).alias("key"), F.count(F.lit(1)).alias("shared"))
     groups = keyed.groupBy("n", "key").agg(F.min("cid").alias("gid"))
     # prefix shingles of its own set a class apart: the fewer, the more central
-    members = stage(keyed.join(groups, ["n", "key"]).select("cid", "gid", "n", (F.col("length") - F.col("shared")).alias("own")), "jaccard-members")
-    verifier = Verifier(rows, k, percent, classes.select("cid", "n", "sig"))
-    placed = live.select("token", "cid").join(members, "cid")
-    heads = placed.where("cid = gid").select("token", "gid", "n", "own")
-    pivots = heads.groupBy("token").agg(F.min(F.struct("own", F.xxhash64("gid").alias("h"), "gid")).alias("p")).select("token", F.col("p.gid").alias("pivot"))
-    pivots = stage(pivots, "jaccard-pivots")
+    members = stage(keyed.join(groups, ["n", "key"]).select("cid", "gid", "n", (2 * F.col("length") - F.col("shared")).alias("own")), "jaccard-members")
+    verifier = Verifier(rows, k, percent, classes.select("cid", "n", "sig"), least)
+    placed = live.select("token", "cid", "pos", "next").join(members, "cid")
+    heads = placed.where("cid = gid").select("token", "gid", "n", "own", "pos")
+    pivots = heads.groupBy("token").agg(F.min(F.struct("own", F.xxhash64("gid").alias("h"), "gid", "n", "pos")).alias("p"))
+    pivots = stage(pivots.select("token", F.col("p.gid").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos")), "jaccard-pivots")
     # group pairs (group, pivot), expanded to (member, pivot); a group's members also meet its own head
-    group_pairs = heads.join(pivots, "token").where("gid <> pivot").select("gid", "pivot").distinct()
+    group_pairs = heads.join(pivots, "token").where((F.col("gid") != F.col("pivot")) & reachable("n", "pn", "pos", "ppos", percent)).select("gid", "pivot").distinct()
     first = members.select("cid", "gid").join(group_pairs, "gid").select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
     own = members.where("cid <> gid").select(F.col("cid").alias("a"), F.col("gid").alias("b"))
     bounds, edges = verifier.test(first.unionByName(own).distinct())
@@ -276,9 +298,9 @@ def link_classes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> D
     at = bounds.select(F.col("a").alias("cid"), F.col("b").alias("pivot"), "low", "high")
     is_pivot = F.col("cid") == F.col("pivot")
     placed = stage(
-        placed.join(pivots, "token")
+        placed.join(pivots.select("token", "pivot"), "token")
         .join(at, ["cid", "pivot"], "left")
-        .select("token", "cid", "n", F.when(is_pivot, 0.0).otherwise(F.coalesce("low", F.lit(0.0))).alias("low"), F.when(is_pivot, 0.0).otherwise(F.coalesce("high", F.lit(1.0))).alias("high")),
+        .select("token", "cid", "n", "pos", "next", F.when(is_pivot, 0.0).otherwise(F.coalesce("low", F.lit(0.0))).alias("low"), F.when(is_pivot, 0.0).otherwise(F.coalesce("high", F.lit(1.0))).alias("high")),
         "jaccard-placed",
     )
     rounds, linked_now = 0, True
@@ -303,11 +325,12 @@ def link_classes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> D
             edges = edges.unionByName(more)
             labels = stage(components(edges), "jaccard-labels")
             continue
-        sides = [open_rows.select("token", "hot", *(F.col(c).alias(side + c) for c in ("cid", "n", "low", "high", "label"))) for side in "xy"]
+        sides = [open_rows.select("token", "hot", *(F.col(c).alias(side + c) for c in ("cid", "n", "pos", "next", "low", "high", "label"))) for side in "xy"]
         near = (
             (F.col("xcid") < F.col("ycid"))
+            & (F.col("xnext") + F.col("ynext") < 2)  # sets of one band meet under that band
             & (F.col("xlabel") != F.col("ylabel"))
-            & (F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * percent)
+            & reachable("xn", "yn", "xpos", "ypos", percent)
             & (F.col("xlow") - F.col("yhigh") <= far)
             & (F.col("ylow") - F.col("xhigh") <= far)
         )
@@ -339,8 +362,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     scanned = stage(scan_classes(rows, k, kind), "jaccard-scan")
     sketch = sum_sketch(scanned.where("seg is not null").select("seg", "counts"))
     listed = scanned.where("seg is null").select("id", "n", "cid")
-    roots = link_classes(rows.select("text"), k, percent, sketch)
-    classes = listed.where("n > 0").groupBy("cid").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("class_size"))
+    classes = stage(listed.where("n > 0").groupBy("cid").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("class_size")), "jaccard-sizes")
+    roots = link_classes(rows, k, percent, sketch, classes.select("cid", "least"))
     rooted = classes.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stage(rooted.join(names, "root").select("cid", "component_id", "class_size"), "jaccard-named")
