@@ -218,17 +218,18 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def coarse_words(sigs: DataFrame) -> DataFrame:
-    """(cid, words, len): signatures folded to COARSE words or padded to them, and the length that they have then."""
+    """(cid, len, w0, w1, ...): signatures folded to COARSE words or padded to them, and the length that they have then."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column("sig").to_pylist()
+            words = np.array([coarse(s) for s in raw], np.int64).reshape(-1, COARSE)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("cid"), pa.array([coarse(s) for s in raw], pa.list_(pa.int64())), pa.array([min(len(s), COARSE * 8) for s in raw], pa.int32())],
-                names=["cid", "words", "len"],
+                [batch.column("cid"), pa.array([min(len(s), COARSE * 8) for s in raw], pa.int32()), *(pa.array(words[:, j]) for j in range(COARSE))],
+                names=["cid", "len", *(f"w{j}" for j in range(COARSE))],
             )
 
-    return sigs.mapInArrow(run, "cid long, words array<long>, len int")
+    return sigs.mapInArrow(run, "cid long, len int, " + ", ".join(f"w{j} long" for j in range(COARSE)))
 
 
 class Verifier:
@@ -336,12 +337,15 @@ def link_classes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray, leas
         )
         cold = sides[0].where("not hot").join(sides[1].where("not hot").drop("hot"), "token").where(near)
         coarse_sigs = coarse_words(classes.select("cid", "sig"))
-        hot = [df.where("hot").drop("hot").join(coarse_sigs.withColumnsRenamed({"cid": f"{side}cid", "words": f"{side}words"}), f"{side}cid") for side, df in zip("xy", sides, strict=True)]
-        differ = F.aggregate(F.zip_with("xwords", "ywords", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, c: acc + c)
+        names = ["cid", "len", *(f"w{j}" for j in range(COARSE))]
+        hot = [df.where("hot").drop("hot").join(coarse_sigs.select(*(F.col(c).alias(side + c) for c in names)), f"{side}cid") for side, df in zip("xy", sides, strict=True)]
+        differ = F.lit(0)
+        for j in range(COARSE):
+            differ = differ + F.bit_count(F.col(f"xw{j}").bitwiseXOR(F.col(f"yw{j}")))
         may_link = (F.col("xn") + F.col("yn") - differ) * 100 >= (F.col("xn") + F.col("yn") + differ) * percent
         # signatures of very different lengths aren't comparable once padded; sizes within the threshold differ by one doubling at most
         alike = F.col("xlen") == F.col("ylen")
-        hot_pairs = hot[0].withColumnRenamed("len", "xlen").join(hot[1].withColumnRenamed("len", "ylen"), "token").where(near & (~alike | may_link))
+        hot_pairs = hot[0].join(hot[1], "token").where(near & (~alike | may_link))
         pairs = cold.select("xcid", "ycid").unionByName(hot_pairs.select("xcid", "ycid")).distinct().toDF("a", "b")
         labels = stage(components(edges.unionByName(verifier.test(pairs)[1])), "jaccard-labels")
         break
