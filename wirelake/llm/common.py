@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ FILTER_BITS = 1 << 23
 ROW_BITS = 1 << 15
 
 #: Python sides take documents in slices of about this many bytes of text.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,14 +89,13 @@ def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Parts of the batch of about limit bytes, each with its texts as UTF-8 (null as empty)."""
-    texts = batch.column(text).cast(pa.binary()).to_pylist()
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or b"") + 64
-        if size >= limit or i + 1 == len(texts):
-            yield batch.slice(start, i + 1 - start), [t or b"" for t in texts[start : i + 1]]
-            start, size = i + 1, 0
+    """Parts of the batch of about limit bytes, each with its texts as UTF-8 (null as empty); one part is unpacked at a time."""
+    column = batch.column(text).cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+    part = np.cumsum(sizes) // limit
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    for start, end in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+        yield batch.slice(start, end - start), [t or b"" for t in column.slice(start, end - start).to_pylist()]
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -107,7 +107,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept for words met before."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
