@@ -20,21 +20,21 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores under 0.5, whatever their language."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model).where("score < 0.5").select(*docs.columns)
+    return toxicity.without_toxic(docs, model, 0.5)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the smallest id."""
     found = exact_dedup.exact_dedup(docs)
     dropped = stage(found.where("not kept").select(F.col("doc_id").alias("gone")), "copies")
-    return docs.join(dropped, F.col("doc_id") == F.col("gone"), "left_anti")
+    return docs.join(dropped, docs["doc_id"] == dropped["gone"], "left_anti")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (five-word shingles, similarity 0.8 or more), the document with the smallest id."""
     found = jaccard_join.jaccard_components(docs, k=5, percent=80)
     dropped = stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")), "near-copies")
-    return docs.join(dropped, F.col("doc_id") == F.col("gone"), "left_anti")
+    return docs.join(dropped, docs["doc_id"] == dropped["gone"], "left_anti")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,24 +68,27 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
     )
 
 
+ADDED = ("rate", "n_copies", "copy", "shuffle_key")
+
+
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: int = 17) -> DataFrame:
     """The mixed corpus: docs' columns, then rate, n_copies, copy (from 0) and shuffle_key, in shuffled order.
 
     Rows of one id get the same count. Null ids hash like the word null; texts are carried as they are,
-    nulls included. Docs may not have columns of the four added names. An empty table gives an empty result.
+    nulls included. Columns of docs that bear an added name are replaced. An empty table gives an empty result.
     """
+    kept = [c for c in docs.columns if c not in ADDED]
     rates = source_rates(docs, weights, temperature, epochs)
     few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    joined = docs.join(F.broadcast(rates) if few else rates, F.col("source").eqNullSafe(F.col("mix_source")))
-    counted = joined.withColumn("mix_u", unit_hash(F.lit(seed), "doc_id")).withColumn(
-        "n_copies", F.size(F.filter("cdf", lambda p: p <= F.col("mix_u"))).cast("int")
-    )
-    copies = counted.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    keyed = copies.withColumn("shuffle_key", unit_hash(F.lit(seed + 1), "doc_id", "copy"))
-    out = keyed.select(*docs.columns, "rate", "n_copies", "copy", "shuffle_key")
+    packed = docs.select(F.struct(*kept).alias("doc"))  # one column, so no name of docs meets one of these
+    joined = packed.join(F.broadcast(rates) if few else rates, F.col("doc.source").eqNullSafe(F.col("mix_source")))
+    counted = joined.withColumn("u", unit_hash(F.lit(seed), F.col("doc.doc_id"))).withColumn("n_copies", F.size(F.filter("cdf", lambda p: p <= F.col("u"))).cast("int"))
+    copies = counted.where("n_copies > 0").select("doc", "rate", "n_copies", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))
+    out = copies.withColumn("shuffle_key", unit_hash(F.lit(seed + 1), F.col("doc.doc_id"), "copy"))
     # the key is uniform, so equal ranges of it are equal shares of the rows: no sampling pass, no hot range
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartition(parts, F.floor(F.col("shuffle_key") * 4096)).sortWithinPartitions("shuffle_key")
+    dealt = out.repartition(parts, F.floor(F.col("shuffle_key") * 4096)).sortWithinPartitions("shuffle_key")
+    return dealt.select("doc.*", *ADDED)
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

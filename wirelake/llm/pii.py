@@ -12,7 +12,6 @@ bitmap of fixed size singles out; the spans. No text is shuffled.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -237,21 +236,20 @@ def redact(text: str, spans: str, terms: list[tuple[int, int, str, str]]) -> str
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the column sanitised: the text after generalising and removing. Nulls stay null.
 
-    Repeated ids must carry equal texts; the join is by id and text length.
+    Rows are joined with their spans by id; of repeated ids one row's spans count, so ids should be unique. A
+    column of docs named sanitised is replaced.
     """
-    spans = find_pii(docs, disclosing_terms(docs.select(F.col(text_col).alias("text"))), id_col, text_col)
-    spans = spans.select(F.col(id_col).alias("pii_id"), "base", "terms").dropDuplicates(["pii_id"])
+    docs = docs.drop("sanitised")
+    spans = find_pii(docs, stage(disclosing_terms(docs.select(F.col(text_col).alias("text"))), "pii-terms"), id_col, text_col)
+    spans = spans.select(F.col(id_col).alias("span_id"), "base", "terms").dropDuplicates(["span_id"])
 
     @F.udf("string")
     def apply(text, base, terms):
         return None if text is None else redact(text, base or "", [tuple(t) for t in terms or []])
 
-    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col("pii_id")), "left")
-    return joined.select(*docs.columns, apply(F.col(text_col), "base", "terms").alias("sanitised"))
-
-
-def sha256_of(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+    packed = docs.select(F.struct("*").alias("doc"))
+    joined = packed.join(spans, F.col(f"doc.{id_col}").eqNullSafe(F.col("span_id")), "left")
+    return joined.select("doc.*", apply(F.col(f"doc.{text_col}"), "base", "terms").alias("sanitised"))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

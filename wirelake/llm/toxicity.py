@@ -274,8 +274,9 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", lang_c
     """docs' columns, then score (0 to 1) and toxic (score at or over the language's threshold, 0.5 if it has none).
 
     Null and empty texts get the network's answer to no words. A map over the scan; every column passes
-    through, so docs may not have columns named score or toxic.
+    through, but columns named score or toxic are replaced.
     """
+    docs = docs.drop("score", "toxic")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,6 +292,19 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", lang_c
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType()), StructField("toxic", BooleanType())]))
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score under the threshold, with all their columns: a map over the scan."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            for part, texts in slices(batch, text_col, 1 << 20):
+                yield part.filter(pa.array(scorer.score(texts) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     scored = score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
