@@ -11,12 +11,11 @@ from wirelake.llm.common import stage
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): label is the smallest node of the component. edges has the columns a and b, in any order.
 
-    Alternates large-star and small-star steps until the edges stay the same: each moves nodes to the
-    smallest neighbour, so a few rounds do even for long paths. Nothing but two numbers reaches the driver.
+    Alternates large-star and small-star steps until the edges are stars: each moves nodes to the
+    smallest neighbour, so a few rounds do even for long paths. Nothing but a count reaches the driver.
     """
     now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
-    while True:
+    while not is_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -24,10 +23,12 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.withColumnRenamed("m", "v"))
         now = stage(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-        mark = tuple(now.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark == seen:
-            break
-        seen = mark
     label = now.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "node")
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("label"))
     return label.unionByName(roots)
+
+
+def is_stars(edges: DataFrame) -> bool:
+    """Does every node that has a smaller neighbour have that one neighbour only?"""
+    sides = edges.select(F.col("u").alias("node"), F.lit(1).alias("downs"), F.lit(0).alias("ups")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("downs"), F.lit(1).alias("ups")))
+    return sides.groupBy("node").agg(F.sum("downs").alias("downs"), F.sum("ups").alias("ups")).where("downs > 1 or downs = 1 and ups > 0").isEmpty()

@@ -29,9 +29,11 @@ from wirelake.llm.components import components
 
 #: Counters of the sketch and counters in one of its rows.
 SKETCH, ROW = 1 << 18, 1 << 12
-#: A bucket whose pairs of different components outnumber its rows by this factor is hot. Hot buckets get further
-#: pivots for this many rounds at most, and signatures of COARSE 64-bit words are tested within their join.
-PAIRS_PER_ROW, MOST_ROUNDS, COARSE = 2, 2, 16
+#: A bucket whose pairs of different components outnumber its rows by this factor is hot: signatures of COARSE 64-bit
+#: words are then tested within its join.
+PAIRS_PER_ROW, COARSE = 2, 16
+#: While the hot buckets' pairs outnumber all index rows by this factor, further pivots connect components first.
+PAIRS_FOR_PIVOTS, MOST_ROUNDS = 500, 6
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
@@ -304,21 +306,23 @@ def link_classes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray, leas
         .select("token", "cid", "n", "pos", "next", F.when(is_pivot, 0.0).otherwise(F.coalesce("low", F.lit(0.0))).alias("low"), F.when(is_pivot, 0.0).otherwise(F.coalesce("high", F.lit(1.0))).alias("high")),
         "jaccard-placed",
     )
-    rounds, linked_now = 0, True
+    rounds, linked_now, n_rows = 0, True, placed.count()
     while True:
         now = placed.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
         sizes = now.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64(F.col("cid") + rounds).alias("h"), "cid")).alias("some"))
-        buckets = stage(
+        buckets = stage(  # the open buckets
             sizes.groupBy("token")
             .agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max(F.struct("c", "label", "some")).alias("top"))
             .where("rows * rows > same")
             .select("token", "rows", ((F.col("rows") * F.col("rows") - F.col("same")) / 2).alias("left"), F.col("top.label").alias("top"), F.col("top.some.cid").alias("pivot")),
             "jaccard-open",
         )
-        if buckets.isEmpty():
+        hot = F.col("left") > PAIRS_PER_ROW * F.col("rows")
+        n_open, hot_pairs = buckets.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(hot, F.col("left"))), F.lit(0))).first()
+        if not n_open:
             break
-        open_rows = now.join(buckets.select("token", "top", "pivot", (F.col("left") > PAIRS_PER_ROW * F.col("rows")).alias("hot")), "token")
-        if rounds < MOST_ROUNDS and linked_now and not buckets.where(F.col("left") > PAIRS_PER_ROW * F.col("rows")).isEmpty():
+        open_rows = now.join(buckets.select("token", "top", "pivot", hot.alias("hot")), "token")
+        if rounds < MOST_ROUNDS and linked_now and hot_pairs > PAIRS_FOR_PIVOTS * n_rows:
             rounds += 1
             pairs = open_rows.where("hot and label <> top").select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct()
             more = verifier.test(pairs)[1]
@@ -338,16 +342,18 @@ def link_classes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray, leas
         cold = sides[0].where("not hot").join(sides[1].where("not hot").drop("hot"), "token").where(near)
         coarse_sigs = coarse_words(classes.select("cid", "sig"))
         names = ["cid", "len", *(f"w{j}" for j in range(COARSE))]
-        hot = [df.where("hot").drop("hot").join(coarse_sigs.select(*(F.col(c).alias(side + c) for c in names)), f"{side}cid") for side, df in zip("xy", sides, strict=True)]
+        signed = [df.where("hot").drop("hot").join(coarse_sigs.select(*(F.col(c).alias(side + c) for c in names)), f"{side}cid") for side, df in zip("xy", sides, strict=True)]
         differ = F.lit(0)
         for j in range(COARSE):
             differ = differ + F.bit_count(F.col(f"xw{j}").bitwiseXOR(F.col(f"yw{j}")))
         may_link = (F.col("xn") + F.col("yn") - differ) * 100 >= (F.col("xn") + F.col("yn") + differ) * percent
         # signatures of very different lengths aren't comparable once padded; sizes within the threshold differ by one doubling at most
         alike = F.col("xlen") == F.col("ylen")
-        hot_pairs = hot[0].join(hot[1], "token").where(near & (~alike | may_link))
-        pairs = cold.select("xcid", "ycid").unionByName(hot_pairs.select("xcid", "ycid")).distinct().toDF("a", "b")
-        labels = stage(components(edges.unionByName(verifier.test(pairs)[1])), "jaccard-labels")
+        warm = signed[0].join(signed[1], "token").where(near & (~alike | may_link))
+        pairs = cold.select("xcid", "ycid").unionByName(warm.select("xcid", "ycid")).distinct().toDF("a", "b")
+        pairs = stage(pairs, "jaccard-pairs")
+        if not pairs.isEmpty():
+            labels = stage(components(edges.unionByName(verifier.test(pairs)[1])), "jaccard-labels")
         break
     return labels.select(F.col("node").alias("cid"), F.col("label").alias("root"))
 
