@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -129,16 +128,17 @@ def scan_classes(rows: DataFrame, k: int, kind: str) -> DataFrame:
 def sum_sketch(parts: DataFrame) -> np.ndarray:
     """The sum of all tasks' sketches on the driver: SKETCH numbers."""
 
-    def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def add(key: tuple, group: pa.Table) -> pa.Table:
         total = np.zeros(ROW, np.uint64)
-        for c in group["counts"]:
+        for x in group.column("counts"):
+            c = x.as_buffer()
             total += np.frombuffer(c, np.uint64 if len(c) == ROW * 8 else np.uint32)
-        return pd.DataFrame({"seg": [key[0]], "counts": [total.tobytes()]})
+        return pa.table({"seg": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(32)))
-    once = salted.groupBy("seg", "salt").applyInPandas(add, "seg int, counts binary")
+    once = salted.groupBy("seg", "salt").applyInArrow(add, "seg int, counts binary")
     out = np.zeros(SKETCH, np.uint64)
-    for row in once.groupBy("seg").applyInPandas(add, "seg int, counts binary").collect():
+    for row in once.groupBy("seg").applyInArrow(add, "seg int, counts binary").collect():
         out[row["seg"] * ROW : row["seg"] * ROW + ROW] = np.frombuffer(row["counts"], np.uint64)
     return out
 

@@ -2,7 +2,8 @@
 
 A word's embedding is the sum of hashed rows: two for the word, two for its first four letters. Filters of
 widths 1, 2 and 3 slide over the words; the maximum over the whole text of each filter goes through a ReLU into a logistic
-output. For a trained network a filter's response is a sum of one number for each word and offset, so
+output. Training also sees short cuts of clean texts as clean, down to no words at all, so that a text isn't toxic for want of
+words. For a trained network a filter's response is a sum of one number for each word and offset, so
 scoring gathers rows of precomputed tables.
 
 Thresholds are calibrated for each language on the sample's calibration part; they make the column
@@ -27,6 +28,8 @@ from wirelake.llm.common import slices, table
 SAMPLE_PER_CLASS = 1500
 ROWS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 8, (1, 2, 3)
 UPDATES, BATCH, RATE, DECAY = 1000, 32, 0.12, 1e-4
+#: Short cuts of clean texts in each block, and their most words.
+CUTS, CUT_WORDS = 8, 16
 PREFIX = 4
 #: Texts of the sample that must use an embedding row for it to be learnt.
 MIN_TEXTS = 4
@@ -152,29 +155,35 @@ def train(texts: list[bytes], labels: np.ndarray, langs: list[str | None], seed:
     params = [model.embedding, *model.filters, *model.bias, model.out]
     squares = [np.full(x.shape, 1e-3) for x in params]
     bias_square = 1e-3
+    clean = fit[labels[fit] == 0]
     weight = np.array([0.5 / max(1e-9, (labels[fit] == c).mean()) for c in (0, 1)])
     slots = np.cumsum([0, *WIDTHS])
     done = 0
     while done < UPDATES:
         for block in np.array_split(rng.permutation(fit), max(1, len(fit) // BATCH)):
             done += 1
-            used = np.unique(np.concatenate([index[i] for i in block]))
+            batch = [index[i] for i in block]
+            for i in rng.choice(clean, CUTS) if len(clean) else ():
+                begin = int(rng.integers(0, len(index[i]) + 1))
+                batch.append(index[i][begin : begin + int(rng.integers(0, CUT_WORDS))])
+            truth = np.concatenate([labels[block], np.zeros(len(batch) - len(block), np.int64)])
+            used = np.unique(np.concatenate(batch))
             used = used[used > 0]
             tables = model.tables(rows[used - 1])
-            own = [np.searchsorted(used, index[i]) + 1 for i in block]
+            own = [np.searchsorted(used, t) + 1 for t in batch]
             hidden, where, z = forward(model, own, tables)
-            error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[block]) * weight[labels[block]] / len(block)
+            error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - truth) * weight[truth] / len(batch)
             unit_error = error[:, None] * model.out[None, :] * (hidden > 0)
             grads = [None, *(np.zeros_like(f) for f in model.filters), *(unit_error[:, w * FILTERS : (w + 1) * FILTERS].sum(axis=0) for w in range(len(WIDTHS))), error @ hidden]
             word_at, word_step = [], []
             for w, width in enumerate(WIDTHS):
                 for o in range(width):
-                    for n, i in enumerate(block):
+                    for n, words in enumerate(batch):
                         g = unit_error[n, w * FILTERS : (w + 1) * FILTERS]
                         at = where[n, w * FILTERS : (w + 1) * FILTERS] + o
-                        live = np.flatnonzero((g != 0) & (at < len(index[i])))
+                        live = np.flatnonzero((g != 0) & (at < len(words)))
                         if len(live):
-                            hit = rows[index[i][at[live]] - 1]
+                            hit = rows[words[at[live]] - 1]
                             grads[1 + w][o][:, live] += (model.embedding[hit].sum(axis=1) * g[live, None]).T
                             word_at.append(hit)
                             word_step.append(model.filters[w][o][:, live].T * g[live, None])
@@ -194,7 +203,9 @@ def train(texts: list[bytes], labels: np.ndarray, langs: list[str | None], seed:
             bias_square += error.sum() ** 2
             model.out_bias -= RATE * error.sum() / np.sqrt(bias_square)
     tables = model.tables(rows)
-    calibrate(model, forward(model, [index[i] for i in held], tables)[2], labels[held], [langs[i] for i in held])
+    # the held texts, and a clean one without words
+    held_texts, held_labels = [*(index[i] for i in held), np.zeros(0, np.int64)], np.append(labels[held], 0)
+    calibrate(model, forward(model, held_texts, tables)[2], held_labels, [*(langs[i] for i in held), None])
     return model
 
 
