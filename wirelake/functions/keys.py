@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -79,9 +79,8 @@ def fnv32(text: Column | str) -> Column:
     return F.lower(F.lpad(F.hex(total), 8, "0"))
 
 
-@F.pandas_udf(StringType())
-def fnv64(text: pd.Series) -> pd.Series:
-    """FNV-1a, 64 bits, as sixteen hexadecimal digits. Spark has no wrapping product, hence Python."""
+def fnv64(text: Column | str) -> Column:
+    """FNV-1a, 64 bits, as sixteen hexadecimal digits. Spark has no wrapping product, hence Python over Arrow."""
 
     def one(s: str | None) -> str | None:
         if s is None:
@@ -91,7 +90,11 @@ def fnv64(text: pd.Series) -> pd.Series:
             h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
         return f"{h:016x}"
 
-    return text.map(one)
+    @F.arrow_udf(StringType())
+    def digest(values: pa.Array) -> pa.Array:
+        return pa.array([one(s) for s in values.to_pylist()], pa.string())
+
+    return digest(col(text))
 
 
 def normalised_top_type(text: Column | str) -> Column:
