@@ -90,6 +90,8 @@ def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of the batch of about limit bytes, each with its texts as UTF-8 (null as empty); one part is unpacked at a time."""
+    if not batch.num_rows:
+        return
     column = batch.column(text).cast(pa.binary())
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
     part = np.cumsum(sizes) // limit
