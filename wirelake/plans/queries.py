@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelake.functions import keys, paths, urls, versions
+from wirelake.functions import bodies, files, keys, paths, urls, versions
 from wirelake.operators import dependencies, findings, graphs, manifests, matching, scoring, sdk, verdicts
 from wirelake.plans import oracle as o
 from wirelake.sources.derived import CONFIG, calls, endpoints, pages, read, with_tables
@@ -664,3 +664,55 @@ def intent_search(spark, sf_dir):
 
     rows = read(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("text").alias("intent"))
     return search_by_intent(rows, "customer order the that", 20, "doc_id")
+
+
+@query(
+    "file_routes",
+    with_tables(
+        """ select page_id, case when page_id % 3 = 0 then 'nextjs-app' when page_id % 3 = 1 then 'nextjs-pages' else 'astro' end as convention,
+  case when page_id % 3 = 0 then '/' || seg1 || '/:id' when page_id % 3 = 1 then '/api/' || seg1 || '/**' else '/' || seg1 end as path from p"""
+    ),
+)
+def file_routes(spark, sf_dir):
+    p = pages(spark, sf_dir).selectExpr(
+        "page_id", "case page_id % 3 when 0 then concat('src/app/(g)/', seg1, '/[id]/route.ts') when 1 then concat('pages/api/', seg1, '/[...rest].ts') else concat('src/pages/', seg1, '/index.js') end as file"
+    )
+    return p.withColumn("r", files.route_of("file")).select("page_id", "r.convention", "r.path")
+
+
+@query("trivial_bodies", "select doc_id, not contains(trim(text), chr(10)) and length(trim(text)) <= 80 as trivial, regexp_matches(text, '(^|[^A-Za-z0-9_$])the($|[^A-Za-z0-9_$])') as mentions_the from documents")
+def trivial_bodies(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", bodies.is_trivial("text").alias("trivial"), bodies.mentions("text", F.lit("the")).alias("mentions_the"))
+
+
+@query("content_hashes", "select doc_id, sha256(length(lang) || ':' || lang || length(text) || ':' || text) as intent_hash from documents")
+def content_hashes(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", bodies.content_hash("lang", "text").alias("intent_hash"))
+
+
+@query("call_site_paths", with_tables(" select call_id, regexp_replace(regexp_replace(regexp_replace(case when target_url like '${%}/%' then regexp_replace(target_url, '^[^}]*\\}', '') when regexp_matches(target_url, '^https?://[^/]*/') then regexp_replace(target_url, '^https?://[^/]*', '') else target_url end, '[?#].*$', ''), '\\$\\{(?:[^}]*\\.)?([^.}]+)(?:\\}|$)', ':\\1', 'g'), '\\$\\{[^}]*(?:\\}|$)', '', 'g') as path from calls"))
+def call_site_paths(spark, sf_dir):
+    return calls(spark, sf_dir).select("call_id", bodies.call_site_path("target_url").alias("path"))
+
+
+@query("dependency_names", "select distinct p_brand as package from part order by 1 limit 500")
+def dependency_names(spark, sf_dir):
+    return read(spark, sf_dir, "part").select(F.col("p_brand").alias("package")).distinct().orderBy("package").limit(500)
+
+
+@query("egress_cap", "select event_id, user_id from (select *, row_number() over (partition by user_id order by event_type, event_id) as n from events) where n <= 20")
+def egress_cap(spark, sf_dir):
+    return findings.capped(read(spark, sf_dir, "events"), ["user_id"], ["event_type", "event_id"], 20).select("event_id", "user_id")
+
+
+@query("socket_fold", "select event_id from events where event_id % 2 = 0 and (user_id, event_type) not in (select (user_id, event_type) from events where event_id % 29 = 1)")
+def socket_fold(spark, sf_dir):
+    e = read(spark, sf_dir, "events").selectExpr("event_id", "user_id as file", "event_type as topic", "event_type as event")
+    return manifests.fold_sockets(e.where("event_id % 2 = 0").drop("event"), e.where("event_id % 29 = 1")).select("event_id")
+
+
+@query("transport_fold", with_tables(" select call_id from calls where not (page_file in (0, 1, 2) and (contains(target_url, '${') or regexp_matches(target_url, '^https?://')))").replace("page_file", "(call_id % 7)"))
+def transport_fold(spark, sf_dir):
+    c = calls(spark, sf_dir).withColumn("file", F.col("call_id") % 7)
+    gql = c.where("file < 3").select("file", F.lit("call").alias("side"))
+    return manifests.fold_transport(c, gql).select("call_id")
