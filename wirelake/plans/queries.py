@@ -356,7 +356,7 @@ COVERED = "not list_contains(list_transform(list_zip(string_split(pp, '/'), stri
 @query(
     "type_pair_best",
     with_tables(
-        f""", a as ({TYPED} {PRODUCER_PATH} as path from p where page_id % 2 = 0), b as ({TYPED} {CONSUMER_PATH} as path from p where page_id % 4 < 3),
+        f""", a as ({TYPED} {PRODUCER_PATH} as path from p), b as ({TYPED} {CONSUMER_PATH} as path from p),
 s as (select c.id as consumer_id, q.id as producer_id, q.path as qpath, c.path as cpath, {type_path('q.path')} as pp, {type_path('c.path')} as cp from a q join b c on q.method = c.method and q.kind = c.kind and q.owner_id <> c.owner_id),
 t as (select *, case when qpath = cpath then 100 when pp = cp then 95 when len(string_split(pp, '/')) = len(string_split(cp, '/')) and {COVERED} then 90 end as score from s)
 select consumer_id, producer_id, score from (select *, rank() over (partition by consumer_id order by score desc) as r from t where score is not null) where r = 1"""
@@ -365,7 +365,7 @@ select consumer_id, producer_id, score from (select *, rank() over (partition by
 def type_pair_best(spark, sf_dir):
     p = pages(spark, sf_dir)
     cols = ["page_id as id", "host as owner_id", "case when page_id % 2 = 0 then 'GET' else 'POST' end as method", "case when page_id % 3 = 0 then 'request' else 'response' end as kind"]
-    return matching.type_pairs(p.where("page_id % 2 = 0").selectExpr(*cols, f"{PRODUCER_PATH} as path"), p.where("page_id % 4 < 3").selectExpr(*cols, f"{CONSUMER_PATH} as path"))
+    return matching.type_pairs(p.selectExpr(*cols, f"{PRODUCER_PATH} as path"), p.selectExpr(*cols, f"{CONSUMER_PATH} as path"))
 
 
 @query(
@@ -390,8 +390,8 @@ CANDIDATES = [
 PACKAGES = ["concat('pub', cast(s_suppkey % 25 as string)) as owner_id", "concat('pkg', cast(s_suppkey % 50 as string)) as name"]
 MEMBERS = ["concat('pub', cast(p_partkey % 25 as string)) as owner_id", "concat('Api', cast(p_partkey % 3 as string)) as export", "concat('m', cast(p_partkey % 4 as string)) as chain", "concat('f', cast(p_size % 2 as string)) as file", "p_size as line", "p_size + 3 as end_line"]
 MATCHED = ["concat('pub', cast(l_suppkey % 25 as string)) as owner_id", "concat('f', cast(l_linenumber % 2 as string)) as file", "cast(l_quantity as int) as line", "concat('svc', cast(l_partkey % 5 as string)) as producer"]
-SDK_SQL = f"""with c as (select {', '.join(CANDIDATES)} from orders), pk as (select {', '.join(PACKAGES)} from supplier), mem as (select distinct {', '.join(MEMBERS)} from part where p_partkey % 10 = 0),
-calls as (select distinct {', '.join(MATCHED)} from lineitem where l_linenumber < 3),
+SDK_SQL = f"""with c as (select {', '.join(CANDIDATES)} from orders), pk as (select {', '.join(PACKAGES)} from supplier), mem as (select distinct {', '.join(MEMBERS)} from part),
+calls as (select distinct {', '.join(MATCHED)} from lineitem),
 pub as (select name as package, min(owner_id) as publisher from pk group by name having count(distinct owner_id) = 1),
 d as (select c.*, publisher, case when callee like '%(%.%' then null else array_to_string(list_slice(string_split(callee, '.'), 2, 99), '.') end as chain from c left join pub using (package)),
 n as (select d.*, mem.file, mem.line, mem.end_line, mem.export is not null as member from d left join mem on mem.owner_id = publisher and mem.export = import_symbol and mem.chain = d.chain),
@@ -403,8 +403,8 @@ r as (select id, any_value(consumer) as consumer, any_value(package) as package,
 
 def sdk_join(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     t = lambda name, cols: read(spark, sf_dir, name).selectExpr(*cols)
-    members = read(spark, sf_dir, "part").where("p_partkey % 10 = 0").selectExpr(*MEMBERS).distinct()
-    matched = read(spark, sf_dir, "lineitem").where("l_linenumber < 3").selectExpr(*MATCHED).distinct()
+    members = read(spark, sf_dir, "part").selectExpr(*MEMBERS).distinct()
+    matched = read(spark, sf_dir, "lineitem").selectExpr(*MATCHED).distinct()
     return sdk.resolve(t("orders", CANDIDATES), t("supplier", PACKAGES), members, matched)
 
 
