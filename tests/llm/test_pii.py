@@ -25,6 +25,7 @@ def brute(text):
 
 
 def test_base_spans():
+    assert pii.base_spans("0" * 6000 + ".1.1.1") == [("ip", 0, 6006)]
     for t in [*TEXTS, " ".join(TEXTS), "\n".join(TEXTS * 50)]:
         assert pii.base_spans(t) == brute(t)
 
