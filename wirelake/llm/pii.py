@@ -66,7 +66,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     if not DIGIT.search(text):
         return out
     if "." in text:
-        out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p := p.lstrip("0")) <= 3 and int(p or 0) <= 255 for p in m[0].split("."))]
+        out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split(".")))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13:
             digits = m[0].replace(" ", "").replace("-", "")
