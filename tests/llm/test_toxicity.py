@@ -48,8 +48,9 @@ def test_score_reads_nothing_but_text(docs_of, spark):
 
 def test_sample_is_bounded_and_folded(docs_of, spark):
     rows, labels = corpus(400)
-    texts, y, _ = tox.training_sample(docs_of(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), per_class=20)
-    assert len(texts) == 40 and y.sum() == 20
+    got = tox.training_sample(docs_of(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), per_class=20).collect()
+    assert len(got) == 40 and sum(r["y"] for r in got) == 20
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in got)
 
 
 def test_no_labels_and_no_documents(docs_of, spark):

@@ -12,6 +12,7 @@ toxic, and never touch the score. Labels, lang, source and doc_id aren't inputs
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -142,7 +143,8 @@ def train(texts: list[bytes], labels: np.ndarray, langs: list[str | None], seed:
         return model
     lexicon = Lexicon()
     index = [lexicon.text(t) for t in texts]
-    rows = np.array(lexicon.rows, np.int64).reshape(-1, 4)
+    rows = np.array(lexicon.rows, np.int32).reshape(-1, 4)
+    del lexicon
     # rows that hardly any text uses stay at zero: they could only learn single texts by heart
     spread = np.zeros(ROWS, np.int64)
     for i in index:
@@ -205,7 +207,8 @@ def train(texts: list[bytes], labels: np.ndarray, langs: list[str | None], seed:
     tables = model.tables(rows)
     # the held texts, and a clean one without words
     held_texts, held_labels = [*(index[i] for i in held), np.zeros(0, np.int64)], np.append(labels[held], 0)
-    calibrate(model, forward(model, held_texts, tables)[2], held_labels, [*(langs[i] for i in held), None])
+    z = np.concatenate([forward(model, held_texts[k : k + 64], tables)[2] for k in range(0, len(held_texts), 64)])
+    calibrate(model, z, held_labels, [*(langs[i] for i in held), None])
     return model
 
 
@@ -264,21 +267,30 @@ def fold_of(id_column: Column) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> tuple[list[bytes], np.ndarray, list[str | None]]:
-    """At most per_class labelled rows of each class outside the held-out fold, those of the smallest hash of doc_id."""
-    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 0)).select("doc_id", F.col("toxic").alias("y")).dropDuplicates(["doc_id"])
+def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
+    """(doc_id, text, lang, y) of at most per_class labelled rows of each class outside the held-out fold, those of the smallest hash of doc_id."""
+    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 0)).select("doc_id", F.col("toxic").cast("int").alias("y")).dropDuplicates(["doc_id"])
     chosen = None
     for y in (0, 1):
         part = usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").collect()  # 2 * per_class rows
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return [(r["text"] or "").encode() for r in rows], np.array([r["y"] for r in rows], np.int64), [r["lang"] for r in rows]
+    return docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")  # 2 * per_class ids
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
-    """The classifier for docs (doc_id, text, lang) and labels (doc_id, toxic). Labels other than 0 and 1 don't count."""
-    return train(*training_sample(docs, labels, per_class))
+    """The classifier for docs (doc_id, text, lang) and labels (doc_id, toxic). Labels other than 0 and 1 don't count.
+
+    The sample is bounded, so one task trains on it, and only the model comes to the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((i, t or "", lang or "", y) for batch in batches for i, t, lang, y in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang", "y")), strict=True))
+        model = train([t.encode() for _, t, _, _ in rows], np.array([y for *_, y in rows], np.int64), [lang or None for _, _, lang, _ in rows])
+        model.embedding = model.embedding.astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    found = training_sample(docs, labels, per_class).repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else train([], np.zeros(0, np.int64), [])
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
