@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirelake.functions import bodies, files, keys, paths, urls, versions
-from wirelake.operators import dependencies, findings, graphs, manifests, matching, scoring, sdk, verdicts
+from wirelake.operators import dependencies, extraction, findings, graphs, manifests, matching, scoring, sdk, verdicts
 from wirelake.plans import oracle as o
 from wirelake.sources.derived import CONFIG, calls, endpoints, pages, read, with_tables
 from wirelake.streaming import incremental
@@ -716,3 +716,51 @@ def transport_fold(spark, sf_dir):
     c = calls(spark, sf_dir).withColumn("file", F.col("call_id") % 7)
     gql = c.where("file < 3").select("file", F.lit("call").alias("side"))
     return manifests.fold_transport(c, gql).select("call_id")
+
+
+UNQUOTED = o.unquoted("target_url")
+CALL_ROWS = (
+    f", rows as (select call_id, owner_id, upper(method) as method, target_url, {o.call_path('target_url', CONFIG)} as canonical_path, nullif(regexp_extract({UNQUOTED}, '^https?://([^/]*)', 1), '') as host, "
+    f"split_part(file_location, ':', 1) as file, split_part(file_location, ':', 2)::int as line from calls where {o.valid_route(UNQUOTED)})"
+)
+
+
+def gated_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    located = calls(spark, sf_dir).withColumns({"file": keys.file_of("file_location"), "line": keys.line_of("file_location")})
+    return extraction.call_rows(located, CONFIG)
+
+
+@query("call_rows", with_tables(CALL_ROWS + " select call_id, method, canonical_path, host from rows"))
+def call_rows(spark, sf_dir):
+    return gated_calls(spark, sf_dir).select("call_id", "method", "canonical_path", "host")
+
+
+@query(
+    "egress_rows",
+    with_tables(
+        CALL_ROWS
+        + f""" select distinct owner_id, file, line, coalesce(case when {o.host_in('host', CONFIG.external_domains)} then host end, case when starts_with(target_url, 'ENV_VAR:PARTNER_URL:') then 'PARTNER_URL' end) as target,
+  case when {o.host_in('host', CONFIG.external_domains)} then 'host' else 'env_var' end as mechanism from rows where {o.host_in('host', CONFIG.external_domains)} or starts_with(target_url, 'ENV_VAR:PARTNER_URL:')"""
+    ),
+)
+def egress_rows(spark, sf_dir):
+    none = read(spark, sf_dir, "nation").selectExpr("n_name as owner_id", "n_name as file", "1 as line", "n_name as package").limit(0)
+    return extraction.egress_rows(gated_calls(spark, sf_dir), none, CONFIG).select("owner_id", "file", "line", "target", "mechanism")
+
+
+@query(
+    "alias_propagation",
+    """with a as (select n_nationkey as file, 'k' || n_regionkey as alias, n_name as env from nation), i as (select n_nationkey + 100 as file, 'k' || n_regionkey as exported, 'l' || n_nationkey as local, n_nationkey as from_file from nation)
+select file::varchar as file, alias, env from a union all select i.file::varchar, i.local, a.env from i join a on a.file = i.from_file and a.alias = i.exported""",
+)
+def alias_propagation(spark, sf_dir):
+    n = read(spark, sf_dir, "nation")
+    a = n.selectExpr("cast(n_nationkey as string) as file", "concat('k', cast(n_regionkey as string)) as alias", "n_name as env")
+    i = n.selectExpr("cast(n_nationkey + 100 as string) as file", "'named' as kind", "concat('k', cast(n_regionkey as string)) as exported", "concat('l', cast(n_nationkey as string)) as local", "cast(n_nationkey as string) as from_file")
+    return extraction.propagate_aliases(a, i)
+
+
+@query("type_states", "select o_orderkey as alias, case when o_orderkey % 4 = 0 then (case when o_orderkey % 2 = 1 then 'explicit' else 'unknown' end) when o_orderkey % 4 = 1 then 'explicit' when o_orderkey % 4 = 2 then 'unknown' else 'explicit' end as type_state from orders")
+def type_states(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").selectExpr("o_orderkey as alias", "o_orderkey % 2 = 1 as is_explicit", "case o_orderkey % 4 when 1 then 'User[]' when 2 then 'any' end as text")
+    return extraction.type_states(rows.select("alias", "is_explicit"), rows.where("text is not null").select("alias", "text")).select("alias", "type_state")
