@@ -178,12 +178,22 @@ def self_loop_keys(ops: DataFrame) -> DataFrame:
 def type_pairs(producers: DataFrame, consumers: DataFrame) -> DataFrame:
     """(consumer_id, producer_id, score): a consumer's best-scoring producers of another service and the same type kind, ties kept.
 
-    Equi-join on method, kind and number of segments of the normal path; producers and consumers have id, owner_id, method, kind, path.
+    producers and consumers have id, owner_id, method, kind, path. Distinct paths are normalised once and meet by method, kind,
+    number of segments and first segment; only pairs that score are joined with the rows.
     """
-    sides = [
-        df.select(F.upper("method").alias("method"), "kind", F.size(paths.segments(paths.type_match_path("path"))).alias("n"), *(F.col(c).alias(f"{side}_{c}") for c in ("id", "owner_id", "path")))
-        for side, df in (("producer", producers), ("consumer", consumers))
-    ]
-    scored = sides[0].join(sides[1], ["method", "kind", "n"]).where("producer_owner_id <> consumer_owner_id").withColumn("score", paths.type_pair_score("producer_path", "consumer_path")).where("score is not null")
+    segs = F.split("normal", "/", -1)
+    token = F.when(F.get(segs, F.lit(1)) == ":param", ANY).otherwise(F.coalesce(F.get(segs, F.lit(1)), F.lit("")))
+
+    def shapes(df: DataFrame) -> DataFrame:
+        return df.select(F.upper("method").alias("method"), "kind", "path").distinct().withColumn("normal", paths.type_match_path("path")).withColumns({"n": F.size(segs), "token": token})
+
+    own = shapes(producers).withColumn("token", F.explode(F.array("token", F.lit(ALL)))).select("method", "kind", "n", "token", F.col("path").alias("producer_path"), F.col("normal").alias("producer_normal"))
+    seen = F.when(F.col("token") == ANY, F.array(F.lit(ALL))).otherwise(F.array("token", F.lit(ANY)))
+    asked = shapes(consumers).withColumn("token", F.explode(seen)).select("method", "kind", "n", "token", F.col("path").alias("consumer_path"), F.col("normal").alias("consumer_normal"))
+    covered = F.forall(F.zip_with(F.split("producer_normal", "/", -1), F.split("consumer_normal", "/", -1), lambda s, t: (s == t) | (s == ":param") | (t == ":param")), lambda ok: ok)
+    score = F.when(F.col("producer_path") == F.col("consumer_path"), 100).when(F.col("producer_normal") == F.col("consumer_normal"), 95).when(covered, 90)
+    pairs = own.join(asked, ["method", "kind", "n", "token"]).withColumn("score", score).where("score is not null").select("method", "kind", "producer_path", "consumer_path", "score").distinct()
+    p, c = (df.select(F.upper("method").alias("method"), "kind", F.col("id").alias(f"{side}_id"), F.col("owner_id").alias(f"{side}_owner"), F.col("path").alias(f"{side}_path")) for side, df in (("producer", producers), ("consumer", consumers)))
+    scored = pairs.join(c, ["method", "kind", "consumer_path"]).join(p, ["method", "kind", "producer_path"]).where("producer_owner <> consumer_owner")
     top = Window.partitionBy("consumer_id").orderBy(F.desc("score"))
     return scored.withColumn("rank", F.rank().over(top)).where("rank = 1").select("consumer_id", "producer_id", "score")

@@ -25,10 +25,13 @@ def resolve(candidates: DataFrame, packages: DataFrame, members: DataFrame, call
     calls: owner_id, file, line, producer: matched calls of publishers. The line range is tested on rows that meet by owner and file.
     """
     found = candidates.withColumn("chain", chain_of(F.col("callee"))).join(publishers(packages), "package", "left")
-    member = members.select(F.col("owner_id").alias("publisher"), F.col("export").alias("import_symbol"), "chain", "file", "line", "end_line", F.lit(True).alias("member"))
-    named = found.join(member, ["publisher", "import_symbol", "chain"], "left")
-    inside = calls.select(F.col("owner_id").alias("publisher"), "file", F.col("line").alias("at"), "producer")
-    spans = named.where("member").join(inside, ["publisher", "file"]).where("at between line and end_line").select("id", "producer").distinct()
+    member = members.select(F.col("owner_id").alias("publisher"), F.col("export").alias("import_symbol"), "chain", "file", "line", "end_line")
+    name = ["publisher", "import_symbol", "chain"]
+    named = found.join(member.select(*name).distinct().withColumn("member", F.lit(True)), name, "left")
+    inside = calls.select(F.col("owner_id").alias("publisher"), "file", F.col("line").alias("at"), "producer").distinct()
+    # what a member reaches is found once for the member, not for each of its callers
+    reached = member.join(inside, ["publisher", "file"]).where("at between line and end_line").select(*name, "producer").distinct()
+    spans = found.join(reached, name).select("id", "producer").distinct()
     steps = named.join(spans.select("id").distinct().withColumn("linked", F.lit(True)), "id", "left")
     reason = (
         F.when(F.col("publisher").isNull(), "no_sdk_repo_in_project")
