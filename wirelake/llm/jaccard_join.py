@@ -278,7 +278,10 @@ def link_classes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray, leas
     # sizes of linking classes differ by one band at most, so each shingle is indexed under its band and the next
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(percent / 100))).cast("int") if percent < 100 else F.col("n").cast("int")
     entries = classes.select("cid", "n", F.size("prefix").alias("length"), band.alias("band"), F.posexplode("prefix").alias("pos", "shingle"))
-    index = entries.select("cid", "n", "length", "pos", F.posexplode(F.array(F.xxhash64("shingle", "band"), F.xxhash64("shingle", F.col("band") + 1))).alias("next", "token"))
+    # under the next band a set only meets larger ones, and as the smaller of two a shorter prefix does
+    shorter = F.col("pos") * (100 + percent) <= F.col("n") * (100 - percent)
+    under = F.when(shorter, F.array(F.xxhash64("shingle", "band"), F.xxhash64("shingle", F.col("band") + 1))).otherwise(F.array(F.xxhash64("shingle", "band")))
+    index = entries.select("cid", "n", "length", "pos", F.posexplode(under).alias("next", "token"))
     shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("bucket")).where("bucket > 1").select("token")
     live = stage(index.join(shared, "token"), "jaccard-live")
     # classes of equal size and equal shared prefix are one group, named after its smallest class
