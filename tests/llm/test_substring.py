@@ -73,3 +73,37 @@ def test_edge_cases(docs_of):
     assert {g[0] for g in got} == {5, 6, 8} and max(g[2] for g in got if g[0] == 6) == 140
     assert sd.repeated_passages(docs_of([])).count() == 0
     assert sd.repeated_passages(docs_of([(1, same)])).count() == 0
+
+
+def test_chain_is_split_at_its_gap(docs_of):
+    """P + gap + Q against P + Q, either way round: P and Q are found although the gap is too much for one piece."""
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(50_000)]
+    rows, wanted = [], []
+    for n, size in enumerate((100, 200, 400) * 4):
+        p, q = rng.choices(vocab, k=size), rng.choices(vocab, k=size)
+        gap = rng.choices(vocab, k=int(size * rng.uniform(0.8, 1.3)))
+        long, short = p + gap + q, p + q
+        rows += [(2 * n, " ".join(long if n % 2 else short)), (2 * n + 1, " ".join(short if n % 2 else long))]
+        at = size if n % 2 else size + len(gap)
+        wanted += [(2 * n + 1, 0, size), (2 * n + 1, at, at + size)]
+    got = sd.repeated_passages(docs_of(rows)).collect()
+    for i, a, b in wanted:
+        assert any(r["doc_id"] == i and r["start_word"] <= a and b <= r["end_word"] for r in got), (i, a, b)
+
+
+def test_split_blocks_are_the_longest():
+    """The first part taken is the longest accepted one of all, by trying each."""
+    rng = random.Random(10)
+    for _ in range(300):
+        blocks, edits, at = [], [], 0
+        for _ in range(rng.randint(1, 9)):
+            size = rng.randint(8, 60)
+            blocks.append([at, at + size, 0, 0])
+            at += size + rng.randint(0, 30)
+            edits.append(rng.randint(0, 40))
+        edits.pop()
+        fits = [(blocks[j][1] - blocks[i][0]) for i in range(len(blocks)) for j in range(i, len(blocks)) if sd.accepted(blocks[i][0], blocks[j][1], sum(edits[i:j]))]
+        parts = sd.split_blocks(blocks, edits)
+        assert max(blocks[j][1] - blocks[i][0] for i, j in parts) == max(fits)
+        assert sorted(x for i, j in parts for x in range(i, j + 1)) == list(range(len(blocks)))

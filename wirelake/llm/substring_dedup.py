@@ -145,26 +145,85 @@ def extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best + 1, int((a[: best + 1] != b[: best + 1]).sum())
 
 
-def align_chain(chain: list[tuple[int, int]], here: np.ndarray, here_lo: int, there: np.ndarray, there_lo: int) -> tuple[int, int, int, int, int]:
-    """(start, end, first start, first end, edits) of the chain's alignment, in words of both documents."""
-    edits = 0
+def chain_blocks(chain: list[tuple[int, int]], here: np.ndarray, here_lo: int, there: np.ndarray, there_lo: int) -> tuple[list[list[int]], list[int]]:
+    """The chain's runs of equal words, as [start, end, first start, first end], and the edits between each two of them."""
     p, q = chain[0]
-    end, other_end = p + K, q + K
+    blocks, edits = [[p, p + K, q, q + K]], []
     for p2, q2 in chain[1:]:
+        end, other_end = blocks[-1][1], blocks[-1][3]
         if p2 - p == q2 - q and p2 <= end:  # overlapping seeds on one diagonal agree throughout
-            end, other_end = p2 + K, q2 + K
-        elif p2 >= end and q2 >= other_end:
-            a, b = here[end - here_lo : p2 - here_lo], there[other_end - there_lo : q2 - there_lo]
-            edits += int((a != b).sum()) if len(a) == len(b) and (a == b).mean() > 0.5 else edit_distance(a, b)
-            end, other_end = p2 + K, q2 + K
-        else:  # seeds overlap on one side only: the difference is inserted or deleted
-            edits += abs((p2 - p) - (q2 - q))
-            end, other_end = p2 + K, q2 + K
+            blocks[-1][1], blocks[-1][3] = p2 + K, q2 + K
+        else:
+            if p2 >= end and q2 >= other_end:
+                a, b = here[end - here_lo : p2 - here_lo], there[other_end - there_lo : q2 - there_lo]
+                edits.append(int((a != b).sum()) if len(a) == len(b) and (a == b).mean() > 0.5 else edit_distance(a, b))
+            else:  # seeds overlap on one side only: the difference is inserted or deleted
+                edits.append(abs((p2 - p) - (q2 - q)))
+            blocks.append([p2, p2 + K, q2, q2 + K])
         p, q = p2, q2
-    more, miss = extend(here[end - here_lo :], there[other_end - there_lo :])
-    start, other = chain[0]
-    less, miss2 = extend(here[: start - here_lo][::-1], there[: other - there_lo][::-1])
-    return start - less, end + more, other - less, other_end + more, edits + miss + miss2
+    return blocks, edits
+
+
+def accepted(start: int, end: int, edits: int) -> bool:
+    return edits <= (end - start) * (1 - IDENTITY)
+
+
+def split_blocks(blocks: list[list[int]], edits: list[int]) -> list[tuple[int, int]]:
+    """(first block, last block) of disjoint parts that are accepted by themselves, the longest first among those that can still be had.
+
+    A part is accepted if its words here times 1 - IDENTITY, less its edits, are not under 0: the difference of two prefix
+    sums. Gaps that no accepted part can span cut the chain beforehand.
+    """
+    n = len(blocks)
+    own = [(1 - IDENTITY) * (b[1] - b[0]) for b in blocks]
+    gap = [(1 - IDENTITY) * (blocks[i + 1][0] - blocks[i][1]) - edits[i] for i in range(n - 1)]
+    left, right = list(own), list(own)  # the best sum of a part that ends, or begins, at a block
+    for i in range(1, n):
+        left[i] += max(0.0, left[i - 1] + gap[i - 1])
+    for i in range(n - 2, -1, -1):
+        right[i] += max(0.0, right[i + 1] + gap[i])
+    cuts = [i + 1 for i in range(n - 1) if left[i] + gap[i] + right[i + 1] < -1e-9]
+    todo, out = list(zip([0, *cuts], [*cuts, n], strict=True)), []
+    while todo:
+        lo, hi = todo.pop()
+        before, total, low = [], 0.0, []  # sums before each block; blocks whose sum before is a new low
+        for i in range(lo, hi):
+            before.append(total)
+            if not low or total < before[low[-1] - lo]:
+                low.append(i)
+            total += own[i] + (gap[i] if i + 1 < hi else 0.0)
+        best = (0, lo, lo)
+        for j in range(hi - 1, lo - 1, -1):  # the longest part that ends at j begins at one of the lows
+            after = before[j - lo] + own[j]
+            while low and after - before[low[-1] - lo] >= -1e-9:
+                i = low.pop()
+                best = max(best, (blocks[j][1] - blocks[i][0], i, j))
+        _, i, j = best
+        out.append((i, j))
+        todo += [part for part in ((lo, i), (j + 1, hi)) if part[0] < part[1]]
+    return sorted(out)
+
+
+def align_chain(chain: list[tuple[int, int]], here: np.ndarray, here_lo: int, there: np.ndarray, there_lo: int) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, first start, first end, edits) of each aligned piece of the chain, in words of both documents.
+
+    The whole chain is one piece if its edits allow that; else it is split at gaps, and each part stands by itself.
+    """
+    blocks, edits = chain_blocks(chain, here, here_lo, there, there_lo)
+
+    def piece(i: int, j: int) -> tuple[int, int, int, int, int]:
+        start, end, other, other_end = blocks[i][0], blocks[j][1], blocks[i][2], blocks[j][3]
+        plain = (start, end, other, other_end, sum(edits[i:j]))
+        ahead, ahead_there = here[end - here_lo :][:FLANK], there[other_end - there_lo :][:FLANK]
+        more, miss = extend(ahead, ahead_there)
+        less, miss2 = extend(here[: start - here_lo][::-1][:FLANK], there[: other - there_lo][::-1][:FLANK])
+        wide = (start - less, end + more, other - less, other_end + more, plain[4] + miss + miss2)
+        return wide if accepted(wide[0], wide[1], wide[4]) or not accepted(*plain[:2], plain[4]) else plain
+
+    whole = piece(0, len(blocks) - 1)
+    if len(blocks) == 1 or accepted(whole[0], whole[1], whole[4]):
+        return [whole]
+    return [piece(i, j) for i, j in split_blocks(blocks, edits)]
 
 
 def seeds_of(rows: DataFrame, kind: str) -> DataFrame:
@@ -237,14 +296,17 @@ def align_all(both: DataFrame, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            rows, out = [], []
             for x in range(batch.num_rows):
                 cell = lambda name: batch.column(name)[x]  # noqa: B023, E731
                 chain = list(zip(cell("places").values.to_pylist(), cell("firsts").values.to_pylist(), strict=True))
                 here, there = cell("here").values.to_numpy(), cell("there").values.to_numpy()
-                out.append(align_chain(chain, here, cell("here_lo").as_py(), there, cell("there_lo").as_py()))
+                found = align_chain(chain, here, cell("here_lo").as_py(), there, cell("there_lo").as_py())
+                rows += [x] * len(found)
+                out += found
+            at = pa.array(rows, pa.int64())
             col = lambda i: pa.array([r[i] for r in out], pa.int32())  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("first_id"), *(col(i) for i in range(5))], names=["id", "first_id", "start", "end", "first_start", "first_end", "edits"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("first_id").take(at), *(col(i) for i in range(5))], names=["id", "first_id", "start", "end", "first_start", "first_end", "edits"])
 
     return both.mapInArrow(run, f"id {kind}, first_id {kind}, start int, end int, first_start int, first_end int, edits int")
 
