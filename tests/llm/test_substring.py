@@ -107,3 +107,30 @@ def test_split_blocks_are_the_longest():
         parts = sd.split_blocks(blocks, edits)
         assert max(blocks[j][1] - blocks[i][0] for i, j in parts) == max(fits)
         assert sorted(x for i, j in parts for x in range(i, j + 1)) == list(range(len(blocks)))
+
+
+def test_recall_of_edited_passages(docs_of):
+    """Passages of 60 words with a changed word at every 20th or 10th place, and with words changed, inserted and deleted at random."""
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(50_000)]
+
+    def edited(words, every, kind):
+        out = []
+        for i, w in enumerate(words):
+            hit = i % every == every // 2 if kind == "even" else rng.random() < 1 / every
+            what = "change" if kind == "even" else rng.choice(["change", "insert", "delete"])
+            out += [w] if not hit else {"change": ["new"], "insert": [w, "new"], "delete": []}[what]
+        return out
+
+    cases, rows, wanted = [(every, kind) for every in (20, 10) for kind in ("even", "any")], [], {}
+    for n in range(160):
+        passage = rng.choices(vocab, k=60)
+        other = edited(passage, *cases[n % 4])
+        rows += [(2 * n, " ".join(rng.choices(vocab, k=40) + passage + rng.choices(vocab, k=40)))]
+        rows += [(2 * n + 1, " ".join(rng.choices(vocab, k=50) + other + rng.choices(vocab, k=30)))]
+        wanted[2 * n + 1] = (cases[n % 4], 50, 50 + len(other))
+    hits = dict.fromkeys(cases, 0)
+    for r in sd.repeated_passages(docs_of(rows)).collect():
+        case, a, b = wanted[r["doc_id"]]
+        hits[case] += min(b, r["end_word"]) - max(a, r["start_word"]) >= 0.7 * (b - a)
+    assert hits[20, "even"] == 40 and hits[10, "even"] >= 38 and hits[20, "any"] >= 36 and hits[10, "any"] >= 28

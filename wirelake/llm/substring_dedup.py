@@ -20,15 +20,15 @@ from pyspark.sql import functions as F
 from wirelake.llm.common import collect_bitmap, drop_stage, grams, in_bitmap, mix, slices, stage, table, word_stream
 
 #: Words in a seed, and seeds among which the least is chosen: any run of K + PICK - 1 equal words shares a seed.
-K, PICK = 8, 16
+K, PICK = 8, 4
 #: What a link adds to a chain, and what a word of gap takes from it.
 LINK, GAP = 8.0, 0.5
 #: Words beyond a chain's ends that alignment may take in.
 FLANK = 48
-#: Links of one document farther apart than this belong to different passages.
-APART = 64
 #: Extension stops when its score (1 for a word that agrees, -MISS otherwise) falls by DROP.
 MISS, DROP = 2, 8
+#: After words inserted or deleted, extension looks for AGREE equal words that begin within REACH words.
+REACH, AGREE = 4, 4
 #: Least words of an aligned piece, least share of words that agree, and most words between pieces that touch.
 PIECE_WORDS, IDENTITY, TOUCH = 20, 0.7, 8
 #: Least words of a passage.
@@ -98,23 +98,6 @@ def chains(links: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     return out
 
 
-def promising(links: list[dict]) -> list[dict]:
-    """The links that can belong to a passage.
-
-    A run of PASSAGE_WORDS equal words has a seed among its first PICK k-mers and one among its last, so its links span
-    PASSAGE_WORDS - 2 * (PICK - 1) words or more, whichever documents they lead to.
-    """
-    links = sorted(links, key=lambda x: x["pos"])
-    out: list[dict] = []
-    start = 0
-    for i in range(1, len(links) + 1):
-        if i == len(links) or links[i]["pos"] - links[i - 1]["pos"] > APART:
-            if links[i - 1]["pos"] + K - links[start]["pos"] >= PASSAGE_WORDS - 2 * (PICK - 1):
-                out += links[start:i]
-            start = i
-    return out
-
-
 def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
     """Word edits between two runs; long ones are charged by their longer length less the words both have in order of greed."""
     if len(a) * len(b) > 40_000:
@@ -129,7 +112,7 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
     return int(now[-1])
 
 
-def extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+def diagonal(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """Words to take in from the start of both, and how many of them disagree."""
     n = min(len(a), len(b))
     if not n:
@@ -145,6 +128,28 @@ def extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best + 1, int((a[: best + 1] != b[: best + 1]).sum())
 
 
+def extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """Words to take in from the start of a and of b, and their edits; words may be changed, inserted or deleted."""
+    n, edits = diagonal(a, b)
+    m = n
+    while True:
+        same = a[n : n + REACH + AGREE, None] == b[None, m : m + REACH + AGREE]
+        if np.count_nonzero(same) < AGREE:
+            return n, m, edits
+        high, wide = (max(0, size - AGREE + 1) for size in same.shape)
+        runs = np.ones((high, wide), bool)  # where AGREE equal words begin
+        for k in range(AGREE):
+            runs &= same[k : k + high, k : k + wide]
+        spots = np.argwhere(runs)
+        if not len(spots):
+            return n, m, edits
+        i, j = min(spots.tolist(), key=max)
+        more, miss = diagonal(a[n + i :], b[m + j :])
+        if more - miss - MISS * (miss + max(i, j)) <= 0:
+            return n, m, edits
+        n, m, edits = n + i + more, m + j + more, edits + miss + max(i, j)
+
+
 def chain_blocks(chain: list[tuple[int, int]], here: np.ndarray, here_lo: int, there: np.ndarray, there_lo: int) -> tuple[list[list[int]], list[int]]:
     """The chain's runs of equal words, as [start, end, first start, first end], and the edits between each two of them."""
     p, q = chain[0]
@@ -215,9 +220,9 @@ def align_chain(chain: list[tuple[int, int]], here: np.ndarray, here_lo: int, th
         start, end, other, other_end = blocks[i][0], blocks[j][1], blocks[i][2], blocks[j][3]
         plain = (start, end, other, other_end, sum(edits[i:j]))
         ahead, ahead_there = here[end - here_lo :][:FLANK], there[other_end - there_lo :][:FLANK]
-        more, miss = extend(ahead, ahead_there)
-        less, miss2 = extend(here[: start - here_lo][::-1][:FLANK], there[: other - there_lo][::-1][:FLANK])
-        wide = (start - less, end + more, other - less, other_end + more, plain[4] + miss + miss2)
+        more, more_there, miss = extend(ahead, ahead_there)
+        less, less_there, miss2 = extend(here[: start - here_lo][::-1][:FLANK], there[: other - there_lo][::-1][:FLANK])
+        wide = (start - less, end + more, other - less_there, other_end + more_there, plain[4] + miss + miss2)
         return wide if accepted(wide[0], wide[1], wide[4]) or not accepted(*plain[:2], plain[4]) else plain
 
     whole = piece(0, len(blocks) - 1)
@@ -274,7 +279,7 @@ def chain_links(links: DataFrame, kind: str) -> DataFrame:
             ids, firsts, here, there = [], [], [], []
             for row, found in zip(range(batch.num_rows), batch.column("links").to_pylist(), strict=True):
                 by: dict = {}
-                for x in promising(found):
+                for x in found:
                     by.setdefault(x["first_id"], []).append((x["pos"], x["first_pos"]))
                 for first, pairs in by.items():
                     for chain in chains(pairs):
