@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from wirelake.llm import substring_dedup as sd
 
 
@@ -134,3 +136,34 @@ def test_recall_of_edited_passages(docs_of):
         case, a, b = wanted[r["doc_id"]]
         hits[case] += min(b, r["end_word"]) - max(a, r["start_word"]) >= 0.7 * (b - a)
     assert hits[20, "even"] == 40 and hits[10, "even"] >= 38 and hits[20, "any"] >= 36 and hits[10, "any"] >= 28
+
+
+def test_first_places_in_fragments(docs_of):
+    """What two later documents share is found although its seeds first stand in short fragments elsewhere."""
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(50_000)]
+    own = lambda: rng.choices(vocab, k=30)
+    rows, wanted = [], set()
+    for n in range(0, 400, 10):
+        line, passage = rng.choices(vocab, k=15), rng.choices(vocab, k=60)
+        rows += [(n + 1, " ".join(own() + line + own()))]
+        rows += [(n + k, " ".join(own() + line * 5 + own())) for k in (5, 9)]
+        wanted.add((n + 9, 30, 105))
+        # an earlier document has all parts of the passage, none longer than 19 words; one between the two has them too
+        for k in (2, 7):
+            parts = [passage[p : p + 19] for p in range(0, 60, 8)]
+            rows += [(n + k, " ".join(sum((part + own() for part in rng.sample(parts, len(parts))), [])))]
+        rows += [(n + k, " ".join(own() + passage + own())) for k in (6, 8)]
+        wanted.add((n + 8, 30, 90))
+    got = {(r["doc_id"], r["start_word"], r["end_word"]) for r in sd.repeated_passages(docs_of(rows)).collect()}
+    assert all(any(d == i and x <= a and b <= y for i, x, y in got) for d, a, b in wanted)
+    truth = exact_windows(rows, 50)
+    assert len(truth) > 400 and all(any(d == i and a <= p and p + 50 <= b for d, a, b in got) for i, p in truth)
+
+
+def test_run_hashes():
+    words = np.random.default_rng(1).integers(-(2**31), 2**31, 500).astype(np.int32)
+    both = sd.run_hashes(np.concatenate([words, words[::-1], words]))
+    plain = sd.run_hashes(words)
+    assert len(plain) == 451 and (both[:451] == plain).all() and (both[1000:] == plain).all() and len(set(both.tolist())) == 1451 - 451
+    assert len(sd.run_hashes(words[:49])) == 0 and len(sd.run_hashes(words[:50])) == 1

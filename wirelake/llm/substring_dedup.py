@@ -5,7 +5,9 @@ in the corpus (smallest id, then position), so a seed of n places gives n links,
 pair of documents the links are chained: a chain takes links in order of both positions, at a cost for the gaps
 between them, and the best one is found by a Fenwick tree over the other document's positions.
 Chains are aligned word by word, between their links and outwards; aligned pieces of one
-document that touch, whichever first documents they lead to, make a passage.
+document that touch, whichever first documents they lead to, make a passage. A first place may be a mere
+fragment of what two later documents share, so an exact pass follows: runs of PASSAGE_WORDS words
+whose seeds are all shared and that no passage covers are looked up among the runs of all documents.
 """
 
 from __future__ import annotations
@@ -341,6 +343,81 @@ def joined_pieces(found: list[dict]) -> list[list]:
     return out
 
 
+#: Base of the hashes of runs (odd, so that it has an inverse modulo 2**64), and bits of the filter of runs asked for.
+BASE, RUN_BITS = 0x9E3779B97F4A7C15, 1 << 25
+
+
+def run_hashes(words: np.ndarray) -> np.ndarray:
+    """One hash for each run of PASSAGE_WORDS words: differences of a prefix sum, brought to the same power."""
+    n = len(words) - PASSAGE_WORDS + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+
+    def powers(base: int, count: int) -> np.ndarray:
+        return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(count - 1, base, np.uint64)]))
+
+    mixed = mix(words.astype(np.int64).view(np.uint64) + np.uint64(BASE))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * powers(BASE, len(words)), dtype=np.uint64)])
+    return mix((sums[PASSAGE_WORDS:] - sums[:n]) * powers(pow(BASE, -1, 1 << 64), n)).view(np.int64)
+
+
+def open_runs(places: np.ndarray, spans: list[dict], n_words: int) -> np.ndarray:
+    """Where runs of PASSAGE_WORDS words begin that an earlier document can have and no span covers.
+
+    If an earlier document has a run, all seeds inside it are linked; they are at most PICK words apart, the first and the
+    last less than PICK words from the first and last that the run has room for.
+    """
+    places = np.unique(places)
+    breaks = np.flatnonzero(np.diff(places) > PICK) + 1
+    wanted = np.zeros(max(0, n_words - PASSAGE_WORDS + 1), bool)
+    for group in np.split(places, breaks):
+        if len(group):
+            wanted[max(0, int(group[0]) - PICK + 1) : max(0, int(group[-1]) + K + PICK - PASSAGE_WORDS)] = True
+    for x in spans:
+        wanted[x["start"] : max(0, x["end"] - PASSAGE_WORDS + 1)] = False
+    return np.flatnonzero(wanted)
+
+
+def uncovered_runs(asked: DataFrame, kind: str) -> DataFrame:
+    """(id, start, run) from (id, words, places, spans): the open runs and their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, starts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for row, spans in enumerate(batch.column("spans").to_pylist()):
+                words = batch.column("words")[row].values.to_numpy()
+                at = open_runs(batch.column("places")[row].values.to_numpy(), spans or [], len(words))
+                if len(at):
+                    rows.append(np.full(len(at), row))
+                    starts.append(at)
+                    hashes.append(run_hashes(words)[at])
+            own = batch.column("id")
+            yield pa.RecordBatch.from_arrays([own.take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(hashes))], names=["id", "start", "run"])
+
+    return asked.mapInArrow(run, f"id {kind}, start int, run long")
+
+
+def first_runs(words: DataFrame, kind: str, wanted: DataFrame) -> DataFrame:
+    """(run, first): the first place (id, start) of each wanted run, and of others that share a bit with one."""
+    bitmap = collect_bitmap(wanted, F.col("run"), RUN_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bitmap, np.uint8)
+        for batch in batches:
+            rows, starts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for row in range(batch.num_rows):
+                found = run_hashes(batch.column("words")[row].values.to_numpy())
+                at = np.flatnonzero(in_bitmap(bits, found))
+                if len(at):
+                    rows.append(np.full(len(at), row))
+                    starts.append(at)
+                    hashes.append(found[at])
+            own = batch.column("id")
+            yield pa.RecordBatch.from_arrays([own.take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(hashes))], names=["id", "start", "run"])
+
+    return words.mapInArrow(run, f"id {kind}, start int, run long").groupBy("run").agg(F.min(F.struct("id", "start")).alias("first"))
+
+
 def join_pieces(pieces: DataFrame, kind: str) -> DataFrame:
     """(id, start, end, first_id, edits): pieces of a document that overlap or nearly touch, joined; first_id is the longest piece's."""
 
@@ -360,6 +437,17 @@ def join_pieces(pieces: DataFrame, kind: str) -> DataFrame:
     return pieces.mapInArrow(run, f"id {kind}, start int, end int, first_id {kind}, edits int")
 
 
+def stage_alone(df: DataFrame, name: str) -> DataFrame:
+    """stage(), whose shuffle files go when it is written; else they stay until the driver collects its garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return stage(df, name)
+    finally:
+        conf.set(key, old)
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start_word, end_word, n_words, first_id, edits): passages of a document that an earlier one has, exactly or nearly.
 
@@ -369,18 +457,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    seeds = stage(seeds_of(rows, kind), "substring-seeds")
+    seeds = stage_alone(seeds_of(rows, kind), "substring-seeds")
     first = seeds.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("last"))
-    shared = stage(first.where("first.id < last").select("seed", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos")), "substring-shared")
+    shared = stage_alone(first.where("first.id < last").select("seed", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos")), "substring-shared")
     links = seeds.join(shared, "seed").where("id > first_id").groupBy("id").agg(F.collect_list(F.struct("pos", "first_id", "first_pos")).alias("links"))
-    found = stage(chain_links(links, kind).withColumn("chain", F.monotonically_increasing_id()), "substring-chains")
+    found = stage_alone(chain_links(links, kind).withColumn("chain", F.monotonically_increasing_id()), "substring-chains")
     drop_stage(seeds)
     drop_stage(shared)
     ends = [(F.col(c)[0], F.element_at(c, -1) + K) for c in ("places", "firsts")]
     low = [F.greatest(F.lit(0), a - FLANK) for a, _ in ends]
     asked = [found.select("chain", F.col(i).alias("id"), lo.alias("lo"), (b + FLANK).alias("hi")) for i, lo, (_, b) in zip(("id", "first_id"), low, ends, strict=True)]
     wanted = found.select("id").unionByName(found.select(F.col("first_id").alias("id"))).distinct()
-    words = stage(word_arrays(rows, kind, stage(wanted, "substring-wanted")), "substring-words")
+    words = stage_alone(word_arrays(rows, kind, stage_alone(wanted, "substring-wanted")), "substring-words")
     here, there = (a.join(words, "id").select("chain", "lo", F.slice("words", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("part")) for a in asked)
     both = (
         found.join(here.withColumnsRenamed({"lo": "here_lo", "part": "here"}), "chain")
@@ -389,8 +477,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     length = F.col("end") - F.col("start")
     pieces = align_all(both, kind).where((length >= PIECE_WORDS) & (F.col("edits") <= length * (1 - IDENTITY)))
-    grouped = pieces.groupBy("id").agg(F.collect_list(F.struct("start", "end", "first_id", "first_end", "edits")).alias("pieces"))
-    passages = join_pieces(grouped, kind).where(length >= PASSAGE_WORDS)
+    listed = F.collect_list(F.struct("start", "end", "first_id", "first_end", "edits")).alias("pieces")
+    near = stage_alone(join_pieces(pieces.groupBy("id").agg(listed), kind).where(length >= PASSAGE_WORDS), "substring-near")
+    places = found.groupBy("id").agg(F.flatten(F.collect_list("places")).alias("places"))
+    spans = near.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    asked = stage_alone(uncovered_runs(words.join(places, "id").join(spans, "id", "left"), kind), "substring-runs")
+    hits = asked.join(first_runs(words, kind, asked), "run").where("id > first.id")
+    exact = hits.select("id", "start", (F.col("start") + PASSAGE_WORDS).alias("end"), F.col("first.id").alias("first_id"), (F.col("first.start") + PASSAGE_WORDS).alias("first_end"), F.lit(0).alias("edits"))
+    both = near.withColumn("first_end", F.lit(-1)).unionByName(exact)
+    passages = join_pieces(both.groupBy("id").agg(listed), kind)
     return passages.select(F.col("id").alias(id_col), F.col("start").alias("start_word"), F.col("end").alias("end_word"), length.alias("n_words"), "first_id", "edits")
 
 
