@@ -63,3 +63,14 @@ def test_sanitise(docs_of, clash):
 def test_empty(docs_of):
     docs = docs_of([])
     assert pii.find_pii(docs, pii.disclosing_terms(docs)).count() == 0
+
+
+def test_terms_of_rare_entities(docs_of):
+    """A term that stands only in texts with some address is found, though each address stands in one text and far off."""
+    far = " ".join(f"filler{k}" for k in range(60))
+    rows = [(i, f"plain words number w{i} about the sea {far}") for i in range(60)]
+    rows += [(100 + i, f"Subscriber of the sea {far} bird{i}@sky.org") for i in range(4)]
+    rows += [(200 + i, f"lonely whale {far} one@x.org") for i in range(2)]
+    docs = docs_of(rows)
+    terms = {r["term"] for r in pii.disclosing_terms(docs).collect()}
+    assert "subscriber" in terms and not {"the", "sea", "filler1", "whale", "sky", "org"} & terms

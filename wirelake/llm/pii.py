@@ -1,12 +1,13 @@
 """Personal data: patterns find protected entities, corpus co-occurrence finds the terms that reveal them.
 
-An entity is a kind with its value. For each entity e and each term t that stands near it, the
+An entity is a kind with its value, or a kind by itself, which pools all its values: most values stand in one
+text only. For each entity e and each term t of a document that has it, the
 disclosure of t is PMI(e; t) / IC(e), where PMI = log2 p(e, t) / (p(e) p(t)) and IC = -log2 p(e) over
 documents: 1 says that t never occurs without e. Terms at or over `remove_at` are to be removed, terms at or
 over `generalise_at` to be replaced by their class, wherever in the corpus they stand, provided that at least
-`min_support` documents show the pair.
+`min_support` documents show the pair (for a kind by itself, so many different texts, so that copies of one don't).
 
-Three scans: (term, entity) pairs near entities; document frequencies of just those terms, which a
+Four scans: documents of each entity; (entity, term) pairs of the kinds and of entities with support; document frequencies of just those terms, which a
 bitmap of fixed size singles out; the spans. No text is shuffled.
 """
 
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +34,6 @@ KINDS = ("email", "ip", "card", "phone")
 
 DIGIT = re.compile("[0-9]")
 TERM = re.compile(r"\w+(?:['-]\w+)*")
-#: Terms on each side of an entity that count as near it.
-WINDOW = 5
 MIN_SUPPORT = 3
 GENERALISE_AT, REMOVE_AT = 0.8, 0.95
 
@@ -81,31 +81,54 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def terms_near(text: str, start: int, end: int) -> set[str]:
-    """The folded terms within WINDOW terms of the span."""
-    reach = 40 * WINDOW
-    before = TERM.findall(text, max(0, start - reach), start)[-WINDOW:]
-    after = TERM.findall(text, end, end + reach)[:WINDOW]
-    return {t.lower() for t in before + after if not t.isdigit()}
+def entities_of(text: str, spans: list[tuple[str, int, int]]) -> set[str]:
+    """The kinds of the spans, and the kinds with their folded values."""
+    return {k for k, _, _ in spans} | {f"{k}:{text[a:b].lower()}" for k, a, b in spans}
 
 
-def pairs_near_entities(docs: DataFrame) -> DataFrame:
-    """(entity, term), once for each document that has both near each other; (entity, null) once for each document."""
+def entity_counts(docs: DataFrame) -> DataFrame:
+    """(entity, entity_df): the documents of each entity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            entities, terms = [], []
+            entities: list[str] = []
             for value in batch.column("text"):
                 text = value.as_py() or ""
-                near: dict[str, set[str]] = {}
-                for kind, a, b in base_spans(text):
-                    near.setdefault(f"{kind}:{text[a:b].lower()}", set()).update(terms_near(text, a, b))
-                for entity, found in near.items():
-                    entities += [entity] * (len(found) + 1)
-                    terms += [None, *found]
-            yield pa.RecordBatch.from_arrays([pa.array(entities, pa.string()), pa.array(terms, pa.string())], names=["entity", "term"])
+                entities += entities_of(text, base_spans(text))
+            yield pa.RecordBatch.from_arrays([pa.array(entities, pa.string())], names=["entity"])
 
-    return docs.mapInArrow(run, "entity string, term string")
+    return docs.mapInArrow(run, "entity string").groupBy("entity").agg(F.count(F.lit(1)).alias("entity_df"))
+
+
+def pairs_in_documents(docs: DataFrame, bitmap: bytes) -> DataFrame:
+    """(entity, term, key) once for each document that has both; terms outside the spans, entities in the bitmap; key stands for the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bitmap, np.uint8)
+        size = len(bits) * 8
+        for batch in batches:
+            entities, terms, keys = [], [], []
+            for value in batch.column("text"):
+                text = value.as_py() or ""
+                spans = base_spans(text)
+                here = [e for e in entities_of(text, spans) if bits[(h := term_hash(e) % size) >> 3] >> (h & 7) & 1]
+                if here:
+                    parts, at = [], 0
+                    for _, a, b in sorted(spans, key=lambda x: x[1:]):
+                        parts.append(text[at:a])
+                        at = max(at, b)
+                    found = [t for t in term_set(" ".join([*parts, text[at:]])) if not t.isdigit()]
+                    key = xxhash.xxh3_64_intdigest(text.encode()) >> 1
+                    for e in here:
+                        entities += [e] * len(found)
+                        terms += found
+                        keys += [key] * len(found)
+                if len(terms) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(entities, pa.string()), pa.array(terms, pa.string()), pa.array(keys, pa.int64())], names=["entity", "term", "key"])
+                    entities, terms, keys = [], [], []
+            yield pa.RecordBatch.from_arrays([pa.array(entities, pa.string()), pa.array(terms, pa.string()), pa.array(keys, pa.int64())], names=["entity", "term", "key"])
+
+    return docs.mapInArrow(run, "entity string, term string, key long")
 
 
 def term_set(text: str) -> set[str]:
@@ -155,9 +178,12 @@ def disclosing_terms(docs: DataFrame, min_support: int = MIN_SUPPORT, generalise
 
     docs has the column text. Probabilities are over rows; copies count as often as they occur.
     """
-    counted = stage(pairs_near_entities(docs).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together")), "pii-pairs")
-    entities = counted.where("term is null").select("entity", F.col("together").alias("entity_df"))
-    pairs = counted.where(F.col("term").isNotNull() & (F.col("together") >= min_support))
+    entities = stage(entity_counts(docs).where(F.col("entity_df") >= min_support), "pii-entities")
+    asked = collect_bitmap(entities, F.crc32(F.col("entity").cast("binary")))
+    texts = pairs_in_documents(docs, asked).groupBy("entity", "term", "key").agg(F.count(F.lit(1)).alias("copies"))
+    counted = texts.groupBy("entity", "term").agg(F.sum("copies").alias("together"), F.count(F.lit(1)).alias("texts"))
+    support = F.when(F.col("entity").isin(*KINDS), F.col("texts")).otherwise(F.col("together"))
+    pairs = stage(counted.where(support >= min_support), "pii-pairs")
     bits = collect_bitmap(pairs.select("term"), F.crc32(F.col("term").cast("binary")))
     total = docs.count()
     joined = pairs.join(document_frequencies(docs, bits), "term").join(entities, "entity")
