@@ -1,9 +1,9 @@
 """Exact deduplication through a log-structured merge index, in DataFrame operations only.
 
 Memtables are the scan's partitions: each flushes one run, a file sorted by a 64-bit digest that
-carries min/max fences and a Bloom filter on the digest. Compaction merges the runs to one entry for
-each content key and keeps the smallest (or largest) identifier. Entries that occur more than once
-are hits: their rows are found again through a bitmap of fixed size and grouped by their bytes.
+carries min/max fences and a Bloom filter on the digest. Compaction, a hash aggregation that uses
+neither order nor filters, brings the runs to one entry for each content key and keeps the smallest
+(or largest) identifier. Entries that occur more than once are hits: their rows are found again through a bitmap of fixed size and grouped by their bytes.
 """
 
 from __future__ import annotations
