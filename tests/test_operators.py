@@ -205,3 +205,12 @@ def test_query_surface(spark):
     f = spark.createDataFrame([("a", "loads the user"), ("b", "user user cart"), ("c", None)], "name string, intent string")
     assert [tuple(r) for r in query_api.search_by_intent(f, "user cart", 5).collect()] == [("b", 2), ("a", 1)]
     assert list(itertools.islice(rows(query_api.list_function_intents(f.withColumns({"owner_id": F.lit("s"), "file_path": F.lit("f")}), "s"), "name"), 2)) == [("a",), ("b",)]
+
+
+def test_long_chain_of_calls(spark):
+    """Closures and levels go on past MOST_ROUNDS steps."""
+    edges = spark.range(67).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).coalesce(1)
+    reached = graphs.reachable(edges, spark.createDataFrame([(0,)], "node long"))
+    assert sorted(map(tuple, reached.collect())) == [(i, i) for i in range(68)]
+    found = graphs.levels(spark.range(68).select(F.col("id").alias("node")), edges)
+    assert sorted(map(tuple, found.collect())) == [(i, 67 - i) for i in range(68)]

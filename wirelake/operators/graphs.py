@@ -42,11 +42,12 @@ def mount_chains(mounts: DataFrame, most: int = MOST_ROUNDS) -> DataFrame:
     return now if out is None else out
 
 
-def reachable(edges: DataFrame, starts: DataFrame, most: int = MOST_ROUNDS) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     """(node, depth): nodes that edges (src, dst) lead to from starts (node), with the fewest steps."""
     seen = cut(starts.select("node").distinct().withColumn("depth", F.lit(0)))
-    front = seen
-    for depth in range(1, most + 1):
+    front, depth = seen, 0
+    while most is None or depth < most:
+        depth += 1
         step = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
         front = cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
@@ -55,11 +56,11 @@ def reachable(edges: DataFrame, starts: DataFrame, most: int = MOST_ROUNDS) -> D
     return seen
 
 
-def levels(nodes: DataFrame, calls: DataFrame, most: int = MOST_ROUNDS) -> DataFrame:
+def levels(nodes: DataFrame, calls: DataFrame, most: int | None = None) -> DataFrame:
     """(node, level): callees before callers; what a cycle holds up comes in one last level. calls is (src, dst)."""
     inner = cut(calls.where("src <> dst").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst").distinct())
     left, done, level = cut(nodes.select("node").distinct()), None, 0
-    while level < most:
+    while most is None or level < most:
         waiting = inner.join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
         ready = cut(left.join(waiting, "node", "left_anti").withColumn("level", F.lit(level)))
         if ready.isEmpty():
