@@ -56,6 +56,17 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+def stage_alone(df: DataFrame, name: str) -> DataFrame:
+    """stage(), whose shuffle files go when it is written; else they stay until the driver collects its garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return stage(df, name)
+    finally:
+        conf.set(key, old)
+
+
 def drop_stage(df: DataFrame) -> None:
     """Removes a staged table that nothing will read again."""
     spark = df.sparkSession

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import collect_bitmap, drop_stage, grams, in_bitmap, mix, slices, stage, table, word_stream
+from wirelake.llm.common import collect_bitmap, drop_stage, grams, in_bitmap, mix, slices, stage_alone, table, word_stream
 
 #: Words in a seed, and seeds among which the least is chosen: any run of K + PICK - 1 equal words shares a seed.
 K, PICK = 8, 4
@@ -437,17 +437,6 @@ def join_pieces(pieces: DataFrame, kind: str) -> DataFrame:
     return pieces.mapInArrow(run, f"id {kind}, start int, end int, first_id {kind}, edits int")
 
 
-def stage_alone(df: DataFrame, name: str) -> DataFrame:
-    """stage(), whose shuffle files go when it is written; else they stay until the driver collects its garbage."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    old = conf.get(key, "false")
-    conf.set(key, "true")
-    try:
-        return stage(df, name)
-    finally:
-        conf.set(key, old)
-
-
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start_word, end_word, n_words, first_id, edits): passages of a document that an earlier one has, exactly or nearly.
 
