@@ -1,3 +1,5 @@
+import pytest
+
 import corpus_pipeline as cp
 from wirelake.llm import decontamination, toxicity
 
@@ -59,3 +61,52 @@ def test_stages_against_brute_force(spark, sf):
 
 def test_run(spark, sf):
     assert cp.run(spark, sf).count() > 50
+
+
+@pytest.fixture
+def small(spark, tmp_path):
+    """A folder with a benchmark and labels beside documents."""
+    words = " ".join(f"item{i}" for i in range(30))
+    spark.createDataFrame([(1, words)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path), words
+
+
+def long_text(n, start=0):
+    return " ".join(f"w{i}" for i in range(start, start + n))
+
+
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+def test_odd_rows(spark, docs_of, clash, small, name):
+    """Repeated and null ids, null, empty and long texts, repeated rows, clashing columns: what each stage keeps, by its rule."""
+    folder, item = small
+    near = long_text(100)
+    rows = [
+        (10, "x y"), (10, "x y"), (1, "Y"), (2, "y"), (2, "unique text"), (None, "y"), (None, "lonely"), (None, "lonely"), (5, None), (6, ""), (7, ""),
+        (20, near), (21, near + " more"), (21, "quite another thing under the same number"), (None, near + " less"), (30, f"before {item} after"), (31, long_text(60_000, 1000)),
+    ]
+    docs = clash(docs_of(rows))
+    out = dict(cp.STAGES)[name](spark, docs, folder)
+    got = sorted((r["doc_id"], r["text"]) for r in out.collect() if r["doc_id"] is not None and r["text"] is not None), sum(r["text"] is None for r in out.collect()), sorted(r["text"] for r in out.collect() if r["doc_id"] is None)
+    everything = sorted((i, t) for i, t in rows if i is not None and t is not None)
+    if name != "mixing":
+        assert out.columns == docs.columns
+    if name == "toxicity":  # no labels: nothing is toxic
+        assert got == (everything, 1, sorted(t for i, t in rows if i is None))
+    elif name == "exact_dedup":
+        gone = [(10, "x y"), (2, "y"), (6, ""), (7, "")]
+        left = list(everything)
+        for g in gone:
+            left.remove(g)
+        assert got[0] == left and got[1] == 1 and got[2] == sorted(["lonely", near + " less"])
+    elif name == "near_copies":
+        left = list(everything)
+        for g in [(10, "x y"), (2, "y"), (21, near + " more")]:
+            left.remove(g)
+        assert got == (left, 1, ["lonely"])
+    elif name == "decontamination":
+        left = [x for x in everything if x[0] != 30]
+        assert got == (left, 1, sorted(t for i, t in rows if i is None))
+    else:
+        assert set(got[0]) <= set(everything) and out.count() > 0
+    assert dict(cp.STAGES)[name](spark, docs.limit(0), folder).count() == 0

@@ -74,6 +74,41 @@ def drop_stage(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def text_mark(text: Column) -> Column:
+    """A 64-bit hash of the folded text: with the id, what decisions on rows are joined by."""
+    return F.xxhash64(ascii_fold(text))
+
+
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that found keeps, with all their columns.
+
+    found has one row for each row of docs: (id, mark, grp, kept), mark = text_mark of the text. Rows are met by id (nulls are equal) and
+    mark, so another text under a dropped id stays. Of several kept rows of one group (repeated or null ids) one stays, that of the smallest id,
+    then mark; of rows that agree in both any one. A null grp is no group: such rows all go by kept.
+    """
+    marked = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), text_mark(F.col(text_col)).alias("mark"))
+    kept = found.where("kept and grp is not null").groupBy("grp", "id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    least = F.min(F.struct("id", "mark"))
+    many = kept.groupBy("grp").agg(least.alias("first"), F.sum("n").alias("rows")).where("rows > 1")
+    again = stage(kept.join(many, "grp").select("id", "mark", F.struct("id", "mark").eqNullSafe(F.col("first")).alias("stays")), "kept-again")
+    gone = stage(found.where("not kept").select("id", "mark").unionByName(again.where("not stays").select("id", "mark")), "gone")
+
+    def met(other: DataFrame) -> Column:
+        return marked["id"].eqNullSafe(other["id"]) & (marked["mark"] == other["mark"])
+
+    out = marked.join(gone, met(gone), "left_anti")
+    if not again.isEmpty():
+        one = again.where("stays").select("id", "mark")
+        single = out.join(one, met(one), "left_anti")
+        out = single.unionByName(out.join(one, met(one), "left_semi").dropDuplicates(["id", "mark"]))
+    return out.select("doc.*")
+
+
+def filter_bits(entries: int) -> int:
+    """Bits of a filter that lets few others through: 16 for each entry, 1 MiB at least and 64 MiB at most."""
+    return min(1 << 29, max(FILTER_BITS, 1 << (16 * entries - 1).bit_length()))
+
+
 def bitmap_rows(df: DataFrame, hashed: Column, bits: int = FILTER_BITS) -> DataFrame:
     """A bitmap of the hashes in df: rows (bucket, bitmap), at most bits / ROW_BITS of them."""
     spot = F.pmod(hashed, F.lit(bits))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import FILTER_BITS, collect_bitmap, grams, in_bitmap, mix, slices, stage, table, word_stream
+from wirelake.llm.common import collect_bitmap, filter_bits, grams, in_bitmap, keep_one, mix, slices, stage, table, text_mark, word_stream
 from wirelake.llm.components import components
 
 #: Counters of the sketch and counters in one of its rows.
@@ -100,7 +100,7 @@ def rarest(shingles: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 
 
 def scan_classes(rows: DataFrame, k: int, kind: str) -> DataFrame:
-    """One scan: (id, n, cid) for each row of docs, and each task's sketch as rows (seg, counts)."""
+    """One scan: (id, mark, n, cid) for each row of docs, and each task's sketch as rows (seg, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.uint32)
@@ -110,19 +110,19 @@ def scan_classes(rows: DataFrame, k: int, kind: str) -> DataFrame:
             if n:
                 sketch += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
             out = pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_id(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                names=["id", "n", "cid", "seg", "counts"],
+                [part.column("id"), part.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_id(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                names=["id", "mark", "n", "cid", "seg", "counts"],
             )
             schema = out.schema
             yield out
         if schema is not None:
             segs = SKETCH // ROW
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(segs, schema.field("id").type), pa.nulls(segs, pa.int64()), pa.nulls(segs, pa.int64()), pa.array(range(segs), pa.int32()), pa.array([sketch[s * ROW : s * ROW + ROW].tobytes() for s in range(segs)], pa.binary())],
-                names=["id", "n", "cid", "seg", "counts"],
+                [pa.nulls(segs, schema.field("id").type), pa.nulls(segs, pa.int64()), pa.nulls(segs, pa.int64()), pa.nulls(segs, pa.int64()), pa.array(range(segs), pa.int32()), pa.array([sketch[s * ROW : s * ROW + ROW].tobytes() for s in range(segs)], pa.binary())],
+                names=["id", "mark", "n", "cid", "seg", "counts"],
             )
 
-    return rows.mapInArrow(run, f"id {kind}, n long, cid long, seg int, counts binary")
+    return rows.mapInArrow(run, f"id {kind}, mark long, n long, cid long, seg int, counts binary")
 
 
 def sum_sketch(parts: DataFrame) -> np.ndarray:
@@ -165,7 +165,7 @@ def prefixes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataF
 
 def fetch_sets(rows: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
     """(cid, shingles) of the wanted classes (cid, least): a bitmap of the ids thins the scan before any text is hashed."""
-    bitmap = collect_bitmap(wanted, F.xxhash64("least"), FILTER_BITS)
+    bitmap = collect_bitmap(wanted, F.xxhash64("least"), filter_bits(wanted.count()))
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap, np.uint8)
@@ -361,28 +361,43 @@ def link_classes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray, leas
     return labels.select(F.col("node").alias("cid"), F.col("label").alias("root"))
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id, n_shingles, component_id, class_size.
-
-    Words are runs without ASCII white space after lower-casing A-Z. Two documents link when
-    100 * intersection >= percent * union of their sets of k-word shingles; component_id is the smallest id
-    reachable. Null and empty texts have no shingles, link with nothing and are their own component. Rows with a
-    null id take part but never name a component. class_size counts the rows with the same set. Shingles are compared by
-    64-bit hashes.
-    """
+def component_rows(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, marked: bool = False) -> DataFrame:
+    """(id, mark, n, component_id, class_size, grp) for each row of docs; mark is null unless asked for, grp is null for rows without shingles."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    scanned = stage(scan_classes(rows, k, kind), "jaccard-scan")
+    mark = text_mark(F.col("text")) if marked else F.lit(None).cast("long")
+    scanned = stage(scan_classes(rows.withColumn("mark", mark), k, kind), "jaccard-scan")
     sketch = sum_sketch(scanned.where("seg is not null").select("seg", "counts"))
-    listed = scanned.where("seg is null").select("id", "n", "cid")
+    listed = scanned.where("seg is null").select("id", "mark", "n", "cid")
     classes = stage(listed.where("n > 0").groupBy("cid").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("class_size")), "jaccard-sizes")
     roots = link_classes(rows, k, percent, sketch, classes.select("cid", "least"))
     rooted = classes.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stage(rooted.join(names, "root").select("cid", "component_id", "class_size"), "jaccard-named")
-    single = listed.where("n = 0").select("id", "n", F.col("id").alias("component_id"), F.lit(1).cast("long").alias("class_size"))
-    found = listed.where("n > 0").join(named, "cid").select("id", "n", "component_id", "class_size")
-    return found.unionByName(single).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "class_size")
+    named = stage(rooted.join(names, "root").select("cid", "component_id", "class_size", F.col("root").alias("grp")), "jaccard-named")
+    single = listed.where("n = 0").select("id", "mark", "n", F.col("id").alias("component_id"), F.lit(1).cast("long").alias("class_size"), F.lit(None).cast("long").alias("grp"))
+    return listed.where("n > 0").join(named, "cid").select("id", "mark", "n", "component_id", "class_size", "grp").unionByName(single)
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: id, n_shingles, component_id, class_size.
+
+    Words are runs without ASCII white space after lower-casing A-Z. Two documents link when
+    100 * intersection >= percent * union of their sets of k-word shingles; component_id is the smallest id
+    reachable. Null and empty texts have no shingles, link with nothing and are their own component. Rows with a
+    null id take part but never name a component; repeated rows and ids each give their row. class_size counts the rows with the same
+    set. Texts may have any length. Shingles are compared by 64-bit hashes. Other columns are ignored; an empty table gives an empty result.
+    """
+    found = component_rows(docs, k, percent, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "class_size")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row for each component, all columns as they are: the row of the smallest id.
+
+    Rows are told apart by id and text, so repeated and null ids lose no component; rows without shingles all stay.
+    """
+    found = component_rows(docs, k, percent, id_col, text_col, marked=True)
+    return keep_one(docs, found.select("id", "mark", "grp", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")), id_col, text_col)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
