@@ -50,7 +50,7 @@ def test_disclosing_terms(docs_of, clash):
     found = {r["doc_id"]: r for r in pii.find_pii(docs, pii.disclosing_terms(docs)).collect()}
     assert len(found) == 69 and [(t["start"], t["end"]) for t in found[200]["terms"]] == [(0, 11)]
     assert found[100]["base"] == "email:30:42" and found[201]["base"] == "" and found[None]["n_phone"] == 1
-    assert found[3]["terms"] is None
+    assert found[3]["terms"] == [] and found[201]["sanitised"] is None
 
 
 def test_sanitise(docs_of, clash):
@@ -74,3 +74,24 @@ def test_terms_of_rare_entities(docs_of):
     docs = docs_of(rows)
     terms = {r["term"] for r in pii.disclosing_terms(docs).collect()}
     assert "subscriber" in terms and not {"the", "sea", "filler1", "whale", "sky", "org"} & terms
+
+
+def test_repeated_ids_and_parts(spark, docs_of, monkeypatch):
+    """Rows that share an id keep their own spans; terms broadcast in many parts give what one part gives; very long texts are read whole."""
+    rows = [*corpus(), (1, "nothing here"), (1, "mail c@d.org or nightingale"), (1, "mail c@d.org or nightingale"), (5, "sea " * 50_000 + "end@of.text")]
+    docs = docs_of(rows)
+    terms = pii.disclosing_terms(docs)
+    whole = sorted(tuple(map(str, r)) for r in pii.find_pii(docs, terms).collect())
+    got = sorted(r["sanitised"] or "" for r in pii.find_pii(docs, terms).where("doc_id = 1").collect())
+    assert got[0] == got[1] == "mail [EMAIL] or [WORD]" and got[2] == "nothing here"
+    assert any(r["base"] == "email:200000:211" or r["base"] == "email:200000:200011" for r in pii.find_pii(docs, terms).where("doc_id = 5").collect())
+    monkeypatch.setattr(pii, "TERMS", 1)
+    more = terms.unionByName(spark.createDataFrame([("weather", 0.9, "generalise"), ("sea", 0.9, "remove")], terms.schema))
+    split = pii.find_pii(docs, more)
+    monkeypatch.setattr(pii, "TERMS", 1000)
+    assert sorted(tuple(map(str, r)) for r in split.collect()) == sorted(tuple(map(str, r)) for r in pii.find_pii(docs, more).collect()) != whole
+
+
+def test_terms_are_cut_before_they_are_folded():
+    assert pii.term_set("in İstanbul, ẞ1 o'Neil") == {"in", "İstanbul".lower(), "ß1", "o'neil"}
+    assert [m[0].lower() for m in pii.TERM.finditer("in İstanbul, ẞ1 o'Neil")] == ["in", "İstanbul".lower(), "ß1", "o'neil"]

@@ -8,7 +8,8 @@ over `generalise_at` to be replaced by their class, wherever in the corpus they
 `min_support` documents show the pair (for a kind by itself, so many different texts, so that copies of one don't).
 
 Four scans: documents of each entity; (entity, term) pairs of the kinds and of entities with support; document frequencies of just those terms, which a
-bitmap of fixed size singles out; the spans. No text is shuffled.
+bitmap of fixed size singles out; the spans and the sanitised text. The disclosing terms are broadcast as 64-bit hashes, in as many parts
+as their number asks for, each part a pass over the rows that the last one left. No text is shuffled.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wirelake.llm.common import collect_bitmap, stage, table
 
@@ -36,6 +38,8 @@ DIGIT = re.compile("[0-9]")
 TERM = re.compile(r"\w+(?:['-]\w+)*")
 MIN_SUPPORT = 3
 GENERALISE_AT, REMOVE_AT = 0.8, 0.95
+#: Disclosing terms that are broadcast at once: 9 bytes each.
+TERMS = 1 << 21
 
 
 def luhn(digits: str) -> bool:
@@ -132,13 +136,13 @@ def pairs_in_documents(docs: DataFrame, bitmap: bytes) -> DataFrame:
 
 
 def term_set(text: str) -> set[str]:
-    """The distinct terms of a text. Single words are found by cutting at white space, then trimmed or searched."""
+    """The distinct terms of a text, folded once they are cut out. Single words are found by cutting at white space, then trimmed or searched."""
     out: set[str] = set()
-    for w in set(text.lower().split()):
+    for w in set(text.split()):
         if w.isalnum():
-            out.add(w)
+            out.add(w.lower())
         else:
-            out.update(TERM.findall(w))
+            out.update(t.lower() for t in TERM.findall(w))
     return out
 
 
@@ -193,64 +197,116 @@ def disclosing_terms(docs: DataFrame, min_support: int = MIN_SUPPORT, generalise
     return best.where(F.col("disclosure") >= generalise_at).withColumn("action", F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise"))
 
 
-def find_pii(docs: DataFrame, disclosing: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id, n_email, n_ip, n_card, n_phone, base, terms.
+def key_of(term: str) -> int:
+    """64 bits of a term's hash, as Spark's long."""
+    h = xxhash.xxh3_64_intdigest(term.encode())
+    return h - (1 << 64) if h >> 63 else h
 
-    base is the joined base spans; terms is an array of (start, end, term, action), none of which
-    overlaps a base span. Null and empty texts have no spans.
+
+class Terms:
+    """Disclosing terms by their hashes, sorted, with what is to be done to each."""
+
+    def __init__(self, keys: np.ndarray, remove: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.remove = keys[order], remove[order]
+        self.known: dict[str, str | None] = {}
+
+    def action(self, term: str) -> str | None:
+        """remove, generalise or None."""
+        if term in self.known:
+            return self.known[term]
+        if len(self.known) > 300_000:
+            self.known.clear()
+        key = key_of(term)
+        at = int(np.searchsorted(self.keys, key))
+        hit = at < len(self.keys) and self.keys[at] == key
+        self.known[term] = out = ("remove" if self.remove[at] else "generalise") if hit else None
+        return out
+
+    def spans(self, text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, bool]]:
+        """(start, end, remove) of the terms in the text that overlap none of the taken spans."""
+        if not len(self.keys) or not any(self.action(t) for t in term_set(text)):
+            return []
+        out, k = [], 0
+        taken = sorted(taken)
+        for m in TERM.finditer(text):
+            a, b = m.span()
+            while k < len(taken) and taken[k][1] <= a:
+                k += 1
+            if not any(x < b and a < y for x, y in taken[k : k + 1]) and (action := self.action(m[0].lower())):
+                out.append((a, b, action == "remove"))
+        return out
+
+
+def term_parts(disclosing: DataFrame) -> Iterator[Terms]:
+    """The disclosing terms in parts of about TERMS each; one part, which may be empty, if they are few."""
+    hashed = disclosing.mapInArrow(hash_terms, "key long, remove boolean")
+    parts = max(1, -(-disclosing.count() // TERMS))
+    for k in range(parts):
+        own = hashed.where(F.pmod("key", F.lit(parts)) == k) if parts > 1 else hashed
+        found = own.toArrow()
+        yield Terms(found.column("key").to_numpy(), found.column("remove").to_numpy())
+
+
+def hash_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [key_of(t) for t in batch.column("term").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([a == "remove" for a in batch.column("action").to_pylist()], pa.bool_())], names=["key", "remove"])
+
+
+FOUND = [*(f"n_{k}" for k in KINDS), "base", "terms", "sanitised"]
+SPOTS = "array<struct<start:int,end:int,remove:boolean>>"
+
+
+def find_pii(docs: DataFrame, disclosing: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs' columns, then n_email, n_ip, n_card, n_phone, base, terms, sanitised: one row for each row of docs.
+
+    base is the joined base spans; terms is an array of (start, end, remove), none of which overlaps a base span; sanitised is the
+    text with base spans replaced by their kind, terms removed or replaced by their class (null stays null). Each row's spans and text
+    are found together, so repeated and null ids can't mix texts up. Null and empty texts have no spans; texts of any length
+    are read whole. Columns of docs that bear an added name are replaced; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    bitmap = collect_bitmap(disclosing.select("term"), F.crc32(F.col("term").cast("binary")))
-    kind = rows.schema["id"].dataType.simpleString()
-    spot = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("term", pa.string())]))
+    kept = [c for c in docs.columns if c not in FOUND]
+    docs = docs.select(*kept)
+    spot = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("remove", pa.bool_())]))
+    counts = "".join(f", n_{k} long" for k in KINDS)
+    added = StructType.fromDDL(f"base string, terms {SPOTS}, sanitised string{counts}")
+    schema = StructType([*docs.schema.fields, *(added[c] for c in FOUND)])
+    out = None
+    parts = list(term_parts(disclosing))
+    for k, part in enumerate(parts):
+        shared = docs.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=k == 0, last=k + 1 == len(parts)) -> Iterator[pa.RecordBatch]:
+            known = shared.value
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 256):
+                    rows = batch.slice(lo, 256)
+                    found: dict[str, list] = {c: [] for c in FOUND}
+                    for n, value in enumerate(rows.column(text_col)):
+                        text = value.as_py() or ""
+                        spans = base_spans(text)
+                        for kind in KINDS:
+                            found[f"n_{kind}"].append(sum(s[0] == kind for s in spans))
+                        before = [] if first else [tuple(x.values()) for x in rows.column("terms")[n].as_py()]
+                        terms = sorted([*before, *known.spans(text, [(a, b) for _, a, b in spans])])
+                        found["base"].append(listed(spans))
+                        found["terms"].append([{"start": a, "end": b, "remove": r} for a, b, r in terms])
+                        found["sanitised"].append(redact(text, spans, terms) if last and value.is_valid else None)
+                    types = [pa.int64()] * len(KINDS) + [pa.string(), spot, pa.string()]
+                    yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), *(pa.array(found[c], t) for c, t in zip(FOUND, types, strict=True))], names=[*kept, *FOUND])
+
+        out = (docs if out is None else out).mapInArrow(run, schema)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap, np.uint8)
-        size, some = len(bits) * 8, bool(bits.any())
-        for batch in batches:
-            counts: dict[str, list[int]] = {k: [] for k in KINDS}
-            base, terms = [], []
-            for value in batch.column("text"):
-                text = value.as_py() or ""
-                spans = base_spans(text)
-                for k in KINDS:
-                    counts[k].append(sum(s[0] == k for s in spans))
-                base.append(listed(spans))
-                found = []
-                if some and (hits := {t for t in term_set(text) if bits[(h := term_hash(t) % size) >> 3] >> (h & 7) & 1}):
-                    taken = sorted((a, b) for _, a, b in spans)
-                    for m in TERM.finditer(text):
-                        if (t := m[0].lower()) in hits and not any(a < m.end() and m.start() < b for a, b in taken):
-                            found.append({"start": m.start(), "end": m.end(), "term": t})
-                terms.append(found)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(base, pa.string()), pa.array(terms, spot)],
-                names=["id", *(f"n_{k}" for k in KINDS), "base", "spots"],
-            )
-
-    counts = ", ".join(f"n_{k} long" for k in KINDS)
-    found = rows.mapInArrow(run, f"id {kind}, {counts}, base string, spots array<struct<start:int,end:int,term:string>>")
-    found = stage(found.withColumn("row", F.monotonically_increasing_id()), "pii-spans")
-    terms = (
-        found.select("row", F.explode("spots").alias("spot"))
-        .select("row", "spot.*")
-        .join(disclosing.select("term", "action"), "term")  # the bitmap lets other terms through; this join doesn't
-        .groupBy("row")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "term", "action"))).alias("terms"))
-    )
-    plain = found.where(F.size("spots") == 0).drop("row", "spots").withColumn("terms", F.lit(None).cast(terms.schema["terms"].dataType))
-    other = found.where(F.size("spots") > 0).drop("spots").join(terms, "row", "left").drop("row")
-    out = plain.unionByName(other)
-    return out.withColumnRenamed("id", id_col)
-
-
-def redact(text: str, spans: str, terms: list[tuple[int, int, str, str]]) -> str:
+
+def redact(text: str, spans: list[tuple[str, int, int]], terms: list[tuple[int, int, bool]]) -> str:
     """The text with base spans replaced by their kind, terms generalised to their class or removed."""
-    marks = [(int(a), int(b), f"[{k.upper()}]") for k, a, b in (s.split(":") for s in spans.split(",") if s)]
-    for a, b, _, action in terms:
+    marks = [(a, b, f"[{k.upper()}]") for k, a, b in spans]
+    for a, b, remove in terms:
         word = text[a:b]
         shape = "[NUMBER]" if any(c.isdigit() for c in word) else "[NAME]" if word[0].isupper() else "[WORD]"
-        marks.append((a, b, "" if action == "remove" else shape))
+        marks.append((a, b, "" if remove else shape))
     out, at = [], 0
     for a, b, mark in sorted(marks):
         if a >= at:  # kinds may overlap; the first one's mark stands
@@ -259,33 +315,21 @@ def redact(text: str, spans: str, terms: list[tuple[int, int, str, str]]) -> str
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the column sanitised: the text after generalising and removing. Nulls stay null.
-
-    Rows are joined with their spans by id; of repeated ids one row's spans count, so ids should be unique. A
-    column of docs named sanitised is replaced.
-    """
-    docs = docs.drop("sanitised")
-    spans = find_pii(docs, stage(disclosing_terms(docs.select(F.col(text_col).alias("text"))), "pii-terms"), id_col, text_col)
-    spans = spans.select(F.col(id_col).alias("span_id"), "base", "terms").dropDuplicates(["span_id"])
-
-    @F.udf("string")
-    def apply(text, base, terms):
-        return None if text is None else redact(text, base or "", [tuple(t) for t in terms or []])
-
-    packed = docs.select(F.struct("*").alias("doc"))
-    joined = packed.join(spans, F.col(f"doc.{id_col}").eqNullSafe(F.col("span_id")), "left")
-    return joined.select("doc.*", apply(F.col(f"doc.{text_col}"), "base", "terms").alias("sanitised"))
+def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with the column sanitised: the text after generalising and removing. Nulls stay null; see find_pii for odd rows."""
+    terms = stage(disclosing_terms(docs.select(F.col(text_col).alias("text"))), "pii-terms")
+    kept = [c for c in docs.columns if c != "sanitised"]
+    packed = docs.select(F.col(text_col).alias("text"), F.struct(*kept).alias("doc"))
+    return find_pii(packed, terms).select("doc.*", "sanitised")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Term spans follow the base spans, as term:start:end."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    terms = stage(disclosing_terms(docs), "pii-terms")
-    found = find_pii(docs, terms)
-    extra = F.transform(F.coalesce("terms", F.array().cast(found.schema["terms"].dataType)), lambda t: F.concat(F.lit("term:"), t["start"], F.lit(":"), t["end"]))
+    found = find_pii(docs, stage(disclosing_terms(docs), "pii-terms"))
+    extra = F.transform("terms", lambda t: F.concat(F.lit("term:"), t["start"], F.lit(":"), t["end"]))
     both = F.array_join(F.concat(F.when(F.col("base") == "", F.array().cast("array<string>")).otherwise(F.array("base")), extra), ",")
-    return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), both.alias("spans"), F.size(extra).cast("long").alias("n_terms"))
+    return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), both.alias("spans"), F.size("terms").cast("long").alias("n_terms"), "sanitised")
 
 
 QUERIES = {"op1_pii": op1_pii}
