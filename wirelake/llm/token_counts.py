@@ -6,18 +6,18 @@ count up to it, relative to the newest position. Transitions carry the change in
 emitted tokens; the closing transition of a piece reads its last symbol with the word end. States and
 transitions are made when first met and interned.
 
-White space always closes a piece, so a chunk of text is a state map with three parts: the text
-before its first white space, the tokens between, and the text after its last. Maps compose
-associatively; a long text's chunks are mapped on their own and composed by a parallel prefix scan.
+White space always closes a piece, so a chunk of text that ends at white space takes the start state to the start state, whatever it
+holds: the counts of such chunks add up. A run of symbols within one long piece is a map from state to (state, count). Such maps are made for each
+run on its own and compose associatively, in a tree. A map runs from the start state and from the state asked for side by side until both meet
+in one state; from there on the counts are those of the start's run.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from typing import NamedTuple
 
 import pyarrow as pa
 import regex
@@ -29,14 +29,18 @@ VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 #: Code points in a chunk of a long text.
 CHUNK = 1 << 16
-#: Most entries of each memo table; a full table starts anew.
-MEMO = 300_000
-#: White space for both Python's str.split and the vocabulary's pattern; what only Python takes as such goes the slow way.
+#: Symbols in a run of a long piece, and runs whose maps are made before they are composed.
+RUN, RUNS = 1 << 12, 16
+#: Most entries of each memo table; a full table starts anew. Longer words and pieces aren't kept.
+MEMO, LONGEST = 300_000, 100
+#: What Python's str.split takes for white space and the vocabulary's pattern doesn't; texts with such characters are cut at the pattern's white space.
 PYTHON_ONLY_SPACE = re.compile("[\x1c-\x1f]")
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = re.compile(f"[{SPACES}]+")
 #: Pieces between white space, as the vocabulary file's pattern cuts them.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+")
 #: The same for ASCII text in lower case.
-ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 
 
 def byte_symbols() -> dict[int, str]:
@@ -115,34 +119,84 @@ class Transducer:
     def move(self, state: int, symbol: str) -> tuple[int, int]:
         token, emitted = self.last(state, symbol)
         live = [(since + symbol, before, count - emitted) for since, before, count in self.states[state] if since + symbol in self.prefixes]
-        content = (*live, ("", token, 0))
-        to = self.known.get(content)
-        if to is None:
-            to = self.known[content] = len(self.states)
-            self.states.append(content)
+        to = self.intern((*live, ("", token, 0)))
         self.moves[state, symbol] = to, emitted
         return to, emitted
 
+    def intern(self, content: tuple) -> int:
+        state = self.known.get(content)
+        if state is None:
+            state = self.known[content] = len(self.states)
+            self.states.append(content)
+        return state
+
+    def run(self, state: int, symbols: str) -> tuple[int, int]:
+        """(state, count) after the symbols."""
+        total = 0
+        for symbol in symbols:
+            state, emitted = self.moves.get((state, symbol)) or self.move(state, symbol)
+            total += emitted
+        return state, total
+
     def count(self, piece: str) -> int:
         if len(self.moves) + len(self.closes) > MEMO:
             self.reset()
-        state = total = 0
-        for symbol in piece[:-1]:
-            state, emitted = self.moves.get((state, symbol)) or self.move(state, symbol)
-            total += emitted
+        state, total = (0, 0) if len(piece) <= RUN else (None, 0)
+        if state is None:
+            content = self.states[0]
+            for at in range(0, len(piece) - 1, RUN * RUNS):
+                if len(self.moves) > MEMO:
+                    self.reset()
+                part = piece[at : min(at + RUN * RUNS, len(piece) - 1)]
+                whole = composed([RunMap(self, part[i : i + RUN]) for i in range(0, len(part), RUN)])
+                state, emitted = whole(self.intern(content))
+                content, total = self.states[state], total + emitted
+        else:
+            state, total = self.run(0, piece[:-1])
         key = state, piece[-1]
         if key not in self.closes:
             self.closes[key] = self.last(state, piece[-1] + self.end)[1]
         return total + self.closes[key]
 
 
-class ChunkMap(NamedTuple):
-    """What a chunk does to the tokenizer's state: head and tail are open pieces; closed if white space lies between."""
+StateMap = Callable[[int], tuple[int, int]]
+
 
-    head: str
-    inner: int
-    tail: str
-    closed: bool
+class RunMap:
+    """What a run of symbols does to any state: state to (state, count)."""
+
+    def __init__(self, transducer: Transducer, symbols: str):
+        self.transducer, self.symbols = transducer, symbols
+        self.path, self.counts = [0], [0]  # from the start state: the state and the count before each symbol, and at the end
+        for symbol in symbols:
+            state, emitted = transducer.moves.get((self.path[-1], symbol)) or transducer.move(self.path[-1], symbol)
+            self.path.append(state)
+            self.counts.append(self.counts[-1] + emitted)
+
+    def __call__(self, state: int) -> tuple[int, int]:
+        total = 0
+        for i, symbol in enumerate(self.symbols):
+            if state == self.path[i]:
+                return self.path[-1], total + self.counts[-1] - self.counts[i]
+            state, emitted = self.transducer.moves.get((state, symbol)) or self.transducer.move(state, symbol)
+            total += emitted
+        return state, total
+
+
+def composed(maps: list[StateMap]) -> StateMap:
+    """One map for maps in turn: neighbours are joined until one is left."""
+
+    def both(a: StateMap, b: StateMap) -> StateMap:
+        def run(state: int) -> tuple[int, int]:
+            middle, first = a(state)
+            end, second = b(middle)
+            return end, first + second
+
+        return run
+
+    while len(maps) > 1:
+        maps = [both(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0]
 
 
 class TokenCounter:
@@ -176,13 +230,15 @@ class TokenCounter:
             if n is None:
                 plain = piece.isascii() and piece.isprintable()
                 n = self.transducer.count(piece if plain else "".join(map(self.symbol.__getitem__, piece.encode())))
-                if len(self.pieces) >= MEMO:
-                    self.pieces.clear()
-                self.pieces[piece] = n
+                if len(piece) <= LONGEST:
+                    if len(self.pieces) >= MEMO:
+                        self.pieces.clear()
+                    self.pieces[piece] = n
             count += n
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        self.memo[raw] = count
+        if len(raw) <= LONGEST:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[raw] = count
         return count
 
     def words(self, words: list[str]) -> int:
@@ -193,40 +249,17 @@ class TokenCounter:
             total += self.word(w) if n is None else n
         return total
 
-    def chunk(self, text: str) -> ChunkMap:
-        words = text.split()
-        if not words:
-            return ChunkMap("", 0, "", bool(text))
-        head = "" if text[0].isspace() else words.pop(0)
-        if len(head) == len(text):
-            return ChunkMap(head, 0, "", False)
-        tail = words.pop() if words and not text[-1].isspace() else ""
-        return ChunkMap(head, self.words(words), tail, True)
-
-    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        if not a.closed:
-            return ChunkMap(a.head + b.head, b.inner, b.tail, b.closed)
-        if not b.closed:
-            return ChunkMap(a.head, a.inner, a.tail + b.head, True)
-        middle = a.tail + b.head
-        return ChunkMap(a.head, a.inner + (self.words([middle]) if middle else 0) + b.inner, b.tail, True)
-
-    def scan(self, maps: list[ChunkMap]) -> list[ChunkMap]:
-        """Inclusive prefix scan: each round composes maps at twice the distance."""
-        step = 1
-        while step < len(maps):
-            maps = [self.compose(maps[i - step], m) if i >= step else m for i, m in enumerate(maps)]
-            step *= 2
-        return maps
-
     def plain(self, text: str) -> int:
-        """A text without special strings."""
-        if PYTHON_ONLY_SPACE.search(text):
-            return len(self.library.encode(text, add_special_tokens=False).ids)
-        if len(text) <= CHUNK:
-            return self.words(text.split())
-        whole = self.scan([self.chunk(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)])[-1]
-        return whole.inner + self.words([p for p in (whole.head, whole.tail) if p])
+        """A text without special strings, in chunks that end at white space."""
+        cut = SPACE.split if PYTHON_ONLY_SPACE.search(text) else str.split
+        total = at = 0
+        while at < len(text):
+            end = len(text)
+            if end - at > CHUNK and (space := SPACE.search(text, at + CHUNK)):
+                end = space.start()
+            total += self.words([w for w in cut(text[at:end]) if w])
+            at = end
+        return total
 
     def count(self, text: str) -> int:
         if self.special is None or not any(m in text for m in self.marks) or not self.special.search(text):
@@ -245,7 +278,8 @@ def counter(vocabulary: str) -> TokenCounter:
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
-    Null and empty texts have 0 bytes and 0 tokens. Ids are carried as they are; other columns are ignored.
+    Null and empty texts have 0 bytes and 0 tokens; texts and words of any length are read whole. Ids are carried as they are, repeated or null;
+    other columns are ignored; an empty table gives an empty result.
     A map over the scan: no shuffle, and memory for one batch of texts and the bounded memo tables.
     """
 
