@@ -58,3 +58,15 @@ def test_no_labels_and_no_documents(docs_of, spark):
     model = tox.fit(docs_of([(1, "a b")]), empty)
     assert [r["toxic"] for r in tox.score_toxicity(docs_of([(1, "a b"), (2, None)]), model).collect()] == [False, False]
     assert tox.score_toxicity(docs_of([]), model).count() == 0
+
+
+def test_sample_bounds(spark, docs_of):
+    """Repeated ids, conflicting labels and long texts: the sample keeps its bounds, and what it takes is defined."""
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    docs = docs_of([(i, t) for i in ids for t in (f"text b {i}", f"text a {i}", f"text a {i}")])
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in ids] + [(ids[0], 0, 0), (ids[0], 0, 1), (None, 0, 1), (ids[1], 0, 7)], "doc_id long, quality int, toxic int")
+    rows = tox.training_sample(docs, labels, 1).collect()
+    assert len(rows) == 2 and {r["y"] for r in rows} == {0, 1} and all(r["text"].startswith("text a") for r in rows)
+    whole = tox.training_sample(docs, labels, 1000).collect()
+    assert len(whole) == len(ids) and {r["y"] for r in whole if r["doc_id"] == ids[0]} == {1}
+    assert tox.fit(docs, labels, 20, most_bytes=5).out.any() == False  # noqa: E712  no text fits: an untrained model

@@ -27,6 +27,8 @@ from wirelake.llm.common import slices, table
 
 #: Training takes at most this many labelled rows of each class, those of the smallest hash.
 SAMPLE_PER_CLASS = 1500
+#: Bytes of text in the training sample.
+SAMPLE_BYTES = 64 << 20
 ROWS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 8, (1, 2, 3)
 UPDATES, BATCH, RATE, DECAY = 1000, 32, 0.12, 1e-4
 #: Short cuts of clean texts in each block, and their most words.
@@ -268,28 +270,41 @@ def fold_of(id_column: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """(doc_id, text, lang, y) of at most per_class labelled rows of each class outside the held-out fold, those of the smallest hash of doc_id."""
-    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 0)).select("doc_id", F.col("toxic").cast("int").alias("y")).dropDuplicates(["doc_id"])
+    """(doc_id, text, lang, y) of at most per_class labelled documents of each class outside the held-out fold, those of the smallest hash of doc_id.
+
+    A document labelled both 0 and 1 counts as 1. Of rows that share an id one is taken, that with the least text, then language (nulls first).
+    """
+    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     chosen = None
     for y in (0, 1):
         part = usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    return docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")  # 2 * per_class ids
+    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")  # 2 * per_class ids
+    return rows.groupBy("doc_id", "y").agg(F.min(F.struct("text", "lang")).alias("row")).select("doc_id", "row.text", "row.lang", "y")
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> Model:
     """The classifier for docs (doc_id, text, lang) and labels (doc_id, toxic). Labels other than 0 and 1 don't count.
 
-    The sample is bounded, so one task trains on it, and only the model comes to the driver.
+    The sample is bounded in rows, and in bytes: in the order of the ids' hashes, texts that would take it over most_bytes are left out
+    of training (they are scored whole like any other). So one task trains on it, and only the model comes to the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((i, t or "", lang or "", y) for batch in batches for i, t, lang, y in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang", "y")), strict=True))
-        model = train([t.encode() for _, t, _, _ in rows], np.array([y for *_, y in rows], np.int64), [lang or None for _, _, lang, _ in rows])
+        rows, size = [], 0
+        for batch in batches:
+            for i, t, lang, y in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang", "y")), strict=True):
+                text = (t or "").encode()
+                if size + len(text) <= most_bytes:
+                    size += len(text)
+                    rows.append((i, text, lang or "", y))
+        rows.sort()
+        model = train([t for _, t, _, _ in rows], np.array([y for *_, y in rows], np.int64), [lang or None for _, _, lang, _ in rows])
         model.embedding = model.embedding.astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    found = training_sample(docs, labels, per_class).repartition(1).mapInArrow(run, "model binary").collect()
+    sample = training_sample(docs, labels, per_class).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    found = sample.mapInArrow(run, "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else train([], np.zeros(0, np.int64), [])
 
 
