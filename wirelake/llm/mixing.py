@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from wirelake.llm.common import table
 
-#: Sources up to this many are broadcast with their rates; beyond it they are joined by a shuffle.
-BROADCAST_SOURCES = 10_000
+#: Rates of up to this many bytes in all, as measured, are broadcast; beyond it they are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 #: Uniform numbers have this many bits, from 13 hexadecimal digits of an MD5.
 UNIT = float(1 << 52)
 
@@ -74,20 +74,20 @@ ADDED = ("rate", "n_copies", "copy", "shuffle_key")
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: int = 17) -> DataFrame:
     """The mixed corpus: docs' columns, then rate, n_copies, copy (from 0) and shuffle_key, in shuffled order.
 
-    Rows of one id get the same count. Null ids hash like the word null; texts are carried as they are,
-    nulls included. Columns of docs that bear an added name are replaced. An empty table gives an empty result.
+    Rows of one id, repeated or not, get the same count and keys, so the order among them is not defined. Null ids hash like the word null; texts
+    of any length are carried as they are, nulls included; a null source is a source. Columns of docs that bear an added name are replaced. An empty table gives an empty result.
     """
     kept = [c for c in docs.columns if c not in ADDED]
     rates = source_rates(docs, weights, temperature, epochs)
-    few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    few = (rates.agg(F.sum(8 * F.size("cdf") + F.coalesce(F.octet_length("mix_source"), F.lit(0)) + 64)).first()[0] or 0) <= BROADCAST_BYTES
     packed = docs.select(F.struct(*kept).alias("doc"))  # one column, so no name of docs meets one of these
     joined = packed.join(F.broadcast(rates) if few else rates, F.col("doc.source").eqNullSafe(F.col("mix_source")))
     counted = joined.withColumn("u", unit_hash(F.lit(seed), F.col("doc.doc_id"))).withColumn("n_copies", F.size(F.filter("cdf", lambda p: p <= F.col("u"))).cast("int"))
     copies = counted.where("n_copies > 0").select("doc", "rate", "n_copies", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))
     out = copies.withColumn("shuffle_key", unit_hash(F.lit(seed + 1), F.col("doc.doc_id"), "copy"))
-    # the key is uniform, so equal ranges of it are equal shares of the rows: no sampling pass, no hot range
+    # the key is a hash of 52 bits, so its own hash deals out equal shares to any number of partitions: no sampling pass, no hot range
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = out.repartition(parts, F.floor(F.col("shuffle_key") * 4096)).sortWithinPartitions("shuffle_key")
+    dealt = out.repartition(parts, F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
     return dealt.select("doc.*", *ADDED)
 
 
