@@ -167,3 +167,37 @@ def test_run_hashes():
     plain = sd.run_hashes(words)
     assert len(plain) == 451 and (both[:451] == plain).all() and (both[1000:] == plain).all() and len(set(both.tolist())) == 1451 - 451
     assert len(sd.run_hashes(words[:49])) == 0 and len(sd.run_hashes(words[:50])) == 1
+
+
+def test_edit_distance_is_exact():
+    """Against the whole table, for runs of all lengths; long runs that differ by little cost little."""
+    rng = np.random.default_rng(5)
+
+    def table(a, b):
+        now = np.arange(len(b) + 1)
+        for i, x in enumerate(a, 1):
+            new = np.empty_like(now)
+            new[0] = i
+            for j, y in enumerate(b, 1):
+                new[j] = min(now[j] + 1, new[j - 1] + 1, now[j - 1] + (x != y))
+            now = new
+        return int(now[-1])
+
+    for n, m in [(0, 0), (0, 5), (1, 1), (3, 40), (20, 20), (60, 45), (120, 119)]:
+        for size in (2, 5, 1000):
+            a, b = rng.integers(0, size, n).astype(np.int32), rng.integers(0, size, m).astype(np.int32)
+            assert sd.edit_distance(a, b) == sd.edit_distance(b, a) == table(a, b)
+    long = rng.integers(0, 1 << 30, 3000).astype(np.int32)
+    assert sd.edit_distance(long, np.concatenate([long[:1000], long[:2], long[1000:]])) == 2
+    assert sd.edit_distance(long, np.delete(long, [5, 700, 2000])) == 3
+    assert sd.edit_distance(long[:400], long[400:800]) == 400
+
+
+def test_repeated_ids(docs_of):
+    """Of rows that share an id the one with the least text is read, whatever the order."""
+    words = [f"a{i}" for i in range(80)]
+    passage = " ".join(words)
+    rows = [(1, "x " + passage), (2, passage + " tail"), (2, "zz other"), (2, "zz other"), (3, "a first"), (3, passage)]
+    got = {(r["doc_id"], r["n_words"], r["first_id"]) for r in sd.repeated_passages(docs_of(rows)).collect()}
+    assert got == {(2, 80, 1)}
+    assert sd.repeated_passages(docs_of([])).count() == 0

@@ -101,17 +101,31 @@ def chains(links: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
-    """Word edits between two runs; long ones are charged by their longer length less the words both have in order of greed."""
-    if len(a) * len(b) > 40_000:
-        return max(len(a), len(b)) - int(np.isin(a, b).sum() * (len(a) == len(b) and (a == b).mean() > 0.5))
-    cols = np.arange(len(b) + 1)
-    now = cols.copy()
-    for x in a:
-        step = np.empty_like(now)
-        step[0] = now[0] + 1
-        step[1:] = np.minimum(now[:-1] + (b != x), now[1:] + 1)
-        now = np.minimum.accumulate(step - cols) + cols
-    return int(now[-1])
+    """Word edits between two runs of any length: exact within a band about the diagonal, which widens until it holds the answer."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return len(b)
+    most = max(16, len(b) - len(a))
+    while True:
+        # cell c of row i stands for i words of a against i - most + c words of b; far is more than any distance
+        width, far = 2 * most + 1, len(a) + len(b) + 1
+        cols = np.arange(width)
+        other = np.concatenate([np.full(most, -1, np.int64), b.astype(np.int64) & 0xFFFFFFFF, np.full(most + 1, -1, np.int64)])
+        now = np.where(cols >= most, cols - most, far)
+        now[cols - most > len(b)] = far
+        for i, x in enumerate((a.astype(np.int64) & 0xFFFFFFFF).tolist(), 1):
+            at = i - most + cols  # words of b
+            step = now + (other[i - 1 : i - 1 + width] != x)  # the band moves with the row, so a match stays in its cell
+            step[:-1] = np.minimum(step[:-1], now[1:] + 1)
+            step[at == 0] = i
+            step[(at < 0) | (at > len(b))] = far
+            now = np.minimum(np.minimum.accumulate(step - cols) + cols, far)
+            now[(at < 0) | (at > len(b))] = far
+        found = int(now[len(b) - len(a) + most])
+        if found <= most or most >= len(b):
+            return found
+        most *= 2
 
 
 def diagonal(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -437,15 +451,26 @@ def join_pieces(pieces: DataFrame, kind: str) -> DataFrame:
     return pieces.mapInArrow(run, f"id {kind}, start int, end int, first_id {kind}, edits int")
 
 
+def one_row_for_each_id(rows: DataFrame) -> DataFrame:
+    """rows (id, text) with the least text where an id repeats; rows as they are if none does."""
+    repeated = stage_alone(rows.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "substring-repeated")
+    if repeated.isEmpty():
+        return rows
+    least = stage_alone(rows.join(repeated, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "substring-least")
+    return rows.join(repeated, "id", "left_anti").unionByName(least)
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start_word, end_word, n_words, first_id, edits): passages of a document that an earlier one has, exactly or nearly.
 
     Earlier means a smaller id; words are runs without ASCII white space after lower-casing A-Z. Passages have
     PASSAGE_WORDS words or more. Repeats within one document don't count. Null and empty texts and rows with a null
-    id have no passages; rows that share an id are read as one document and should be made unique before.
+    id have no passages. Of rows that share an id one is read, that with the least text, as nothing tells their places apart. Texts may
+    have any length; other columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
+    rows = one_row_for_each_id(rows)
     seeds = stage_alone(seeds_of(rows, kind), "substring-seeds")
     first = seeds.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("last"))
     shared = stage_alone(first.where("first.id < last").select("seed", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos")), "substring-shared")
