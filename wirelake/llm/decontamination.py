@@ -36,7 +36,7 @@ SIZES = (8, 16, 32)
 #: Walks, bands of each walk and coordinates of each band: by measurement, 0.95 or more of the items at their largest distance are found.
 WALKS, BANDS, SAMPLED = 3, 4, 3
 #: Windows embedded at once, and cells of the edit-distance tables worked on at once.
-PART, CELLS = 1 << 15, 1 << 22
+PART, CELLS = 1 << 15, 1 << 18
 PAD = np.uint64(0)
 
 
@@ -75,31 +75,36 @@ def walk_bits(symbols: np.ndarray, walk: int) -> list[np.ndarray]:
     return out
 
 
-def band_keys(symbols: np.ndarray, count: int, size: int, sampled: list[list[list[int]]]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(walk, band, key, whether two sampled symbols differ) for the windows that begin at the first count symbols; PAD follows the symbols."""
-    steps = steps_of(size)
-    padded = np.concatenate([symbols, np.full(steps + 1, PAD)])
+def band_keys(symbols: np.ndarray, count: int, sizes: list[int], sampled: dict[int, list[list[list[int]]]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, key, whether two sampled symbols differ), band by band, for the windows that begin at the first count symbols; PAD follows the symbols.
+
+    A walk is the same for all sizes, so it is walked once.
+    """
+    last = max((max(band) for s in sizes for walk in sampled[s] for band in walk), default=-1)
+    padded = np.concatenate([symbols, np.full(last + 2, PAD)])
+    moves, first = np.empty(count, np.uint64), np.arange(count)
     for walk in range(WALKS):
         bits = walk_bits(padded, walk)
-        wanted = {j for band in sampled[walk] for j in band}
-        at, met = np.arange(count), {}
-        for j in range(max(wanted) + 1):
+        wanted = {j for s in sizes for band in sampled[s][walk] for j in band}
+        at, met = first.copy(), {}
+        for j in range(max(wanted, default=-1) + 1):
             if j in wanted:
-                met[j] = padded[at]
-            moves = bits[j // 64][at]
-            moves >>= np.uint64(j % 64)
-            moves &= np.uint64(1)
+                met[j] = padded.take(at)
+            bits[j // 64].take(at, out=moves, mode="clip")  # clip spares a check of bounds, which at never passes
+            np.right_shift(moves, np.uint64(j % 64), out=moves)
+            np.bitwise_and(moves, np.uint64(1), out=moves)
             at += moves.view(np.int64)
-        for b, band in enumerate(sampled[walk]):
-            key = np.full(count, np.uint64(walk * 64 + b))
-            for j in band:
-                key += met[j]
-                key *= np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(29)
-            first, differ = met[band[0]], np.zeros(count, bool)
-            for j in band[1:]:
-                differ |= met[j] != first
-            yield walk, b, key, differ
+        for s in sizes:
+            for b, band in enumerate(sampled[s][walk]):
+                key = met[band[0]] + np.uint64(walk * 64 + b + 1)
+                differ = np.zeros(count, bool)
+                for j in band[1:]:
+                    key *= np.uint64(0x9E3779B97F4A7C15)
+                    key ^= key >> np.uint64(32)
+                    key += met[j]
+                    differ |= met[j] != met[band[0]]
+                key *= np.uint64(0xD6E8FEB86659FD93)
+                yield s, key, differ
 
 
 class Table:
@@ -115,7 +120,7 @@ class Table:
 
     def find(self, keys: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, window) of all matches."""
-        hits = np.flatnonzero(self.filter[(keys >> self.shift).view(np.int64)] & allowed)
+        hits = np.flatnonzero(self.filter.take((keys >> self.shift).view(np.int64)) & allowed)
         first, end = np.searchsorted(self.keys, keys[hits], "left"), np.searchsorted(self.keys, keys[hits], "right")
         times = end - first
         place = np.repeat(hits, times)
@@ -141,7 +146,7 @@ class Items:
                 if window_size(len(w)) != size:
                     continue
                 begins = sorted({*range(0, len(w) - size + 1, size // 2), len(w) - size})
-                for _, _, key, differ in band_keys(w, len(w), size, self.sampled[size]):
+                for _, key, differ in band_keys(w, len(w), [size], self.sampled):
                     good = [b for b in begins if differ[b]]
                     keys.append(key[good])
                     windows.append(np.array([len(owner) + begins.index(b) for b in good], np.int64))
@@ -178,31 +183,49 @@ class Items:
         for lo in range(0, len(stream), PART):
             part = stream[lo : lo + PART + steps_of(SIZES[-1])]
             count = min(PART, len(stream) - lo)
-            for size, known in self.tables.items():
-                for _, _, key, differ in band_keys(part, count, size, self.sampled[size]):
-                    place, window = known.find(key, differ)
-                    if len(place):
-                        text = np.searchsorted(starts, place + lo, "right") - 1
-                        found.append(np.stack([text, self.owner[size][window], place + lo - starts[text] - self.place[size][window]], axis=1))
+            for size, key, differ in band_keys(part, count, list(self.tables), self.sampled):
+                place, window = self.tables[size].find(key, differ)
+                if len(place):
+                    text = np.searchsorted(starts, place + lo, "right") - 1
+                    found.append(np.stack([text, self.owner[size][window], place + lo - starts[text] - self.place[size][window]], axis=1))
         out = np.concatenate(found)
         out[:, 2] -= out[:, 2] % 8
         return np.unique(out, axis=0)
 
-    def distances(self, region: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least edit distance of each item to any part of its region, and where that part ends."""
-        longest = int(self.lengths[items].max())
-        words = np.full((len(items), longest), PAD)
+    def absent(self, region: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """How many words of each item its region doesn't have anywhere: never more than the edits."""
+        out = np.zeros(len(items), np.int64)
+        for k, i in enumerate(items.tolist()):
+            if self.lengths[i] > 256:
+                out[k] = np.count_nonzero(~np.isin(self.words[i], region[k]))
+        short = np.flatnonzero(self.lengths[items] <= 256)
+        if len(short):
+            words = self.padded(items[short])
+            for lo in range(0, len(short), 64):
+                there = (words[lo : lo + 64, :, None] == region[short[lo : lo + 64], None, :]).any(axis=2)
+                out[short[lo : lo + 64]] = np.count_nonzero(~there & (np.arange(words.shape[1])[None, :] < self.lengths[items[short[lo : lo + 64]]][:, None]), axis=1)
+        return out
+
+    def padded(self, items: np.ndarray) -> np.ndarray:
+        words = np.full((len(items), int(self.lengths[items].max())), PAD)
         for k, i in enumerate(items.tolist()):
             words[k, : self.lengths[i]] = self.words[i]
-        cols = np.arange(region.shape[1] + 1)
-        now = np.zeros((len(region), len(cols)), np.int64)
+        return words
+
+    def distances(self, region: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least edit distance of each item to any part of its region, and where that part ends."""
+        words = self.padded(items)
+        cols = np.arange(region.shape[1] + 1, dtype=np.int32)
+        now = np.zeros((len(region), len(cols)), np.int32)
         best, end = np.full(len(region), 1 << 30), np.zeros(len(region), np.int64)
-        for i in range(longest):
+        for i in range(words.shape[1]):
             own = words[:, i][:, None]
             step = np.empty_like(now)
             step[:, 0] = now[:, 0] + 1
             step[:, 1:] = np.minimum(now[:, :-1] + (region != own), now[:, 1:] + 1)
-            now = np.minimum.accumulate(step - cols, axis=1) + cols
+            step -= cols
+            now = np.minimum.accumulate(step, axis=1, out=step)
+            now += cols
             last = self.lengths[items] == i + 1
             if last.any():
                 end[last] = now[last].argmin(axis=1)
@@ -237,6 +260,9 @@ class Items:
             size = (starts[t + 1] - starts[t])[:, None]
             inside = (at >= 0) & (at < size) & (np.arange(at.shape[1])[None, :] < width[:, None])
             region = np.where(inside, stream[np.where(inside, at + starts[t][:, None], 0)], PAD)
+            if not len(close := np.flatnonzero(self.absent(region, it) <= k)):
+                continue
+            t, it, k, begin, region = t[close], it[close], k[close], begin[close], region[close]
             best, end = self.distances(region, it)
             for j in np.flatnonzero(best <= k).tolist():
                 last = int(begin[j] + end[j])
