@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from wirelake.functions.paths import col
+from wirelake.functions.paths import col, compat_path
 
 # HTTP methods, and the directories and endings of tests and mocks.
 METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
@@ -38,6 +38,33 @@ def canonical_key(protocol: Column, method: Column, path: Column, gql_kind: Colu
     )
 
 
+def verdict_key(key: Column | str) -> Column:
+    """(method, identity) of a canonical key, by which verdicts are joined; null for other protocols and blank parts."""
+    parts = F.split(col(key), r"\|", 3)
+    kind, a, b = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
+    named = (a != "") & (b != "")
+    of = lambda method, identity: F.struct(method.alias("method"), identity.alias("identity"))
+    return (
+        F.when((kind == "http") & named, of(F.upper(a), b))
+        .when((kind == "socket") & named, of(F.lit("SOCKET"), F.concat_ws("|", a, b)))
+        .when((kind == "graphql") & named, of(F.lit("GRAPHQL"), F.concat_ws("|", a, b)))
+        .when((kind == "pubsub") & (a != "") & b.isNull(), of(F.lit("PUBSUB"), a))
+    )
+
+
+def display_labels(key: Column | str) -> Column:
+    """(label, name) of a canonical key as reports show them; null for other protocols and blank parts."""
+    parts = F.split(col(key), r"\|", 3)
+    kind, a, b = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
+    named = (a != "") & (b != "")
+    of = lambda label, name: F.struct(label.alias("label"), name.alias("name"))
+    return (
+        F.when(kind.isin("http", "socket") & named, of(a, b))
+        .when((kind == "graphql") & named, of(F.upper(a), b))
+        .when((kind == "pubsub") & (a != "") & b.isNull(), of(F.lit("PUBSUB"), a))
+    )
+
+
 def file_of(location: Column | str) -> Column:
     loc = col(location)
     return F.when(loc.rlike(r"(?s)^.*?:\d+(:\d+)?$"), F.regexp_extract(loc, r"(?s)^(.*?):\d+(?::\d+)?$", 1)).otherwise(loc)
@@ -97,6 +124,45 @@ def fnv64(text: Column | str) -> Column:
     return digest(col(text))
 
 
+def type_alias(key: Column | str, role: Column, kind: Column, call_id: Column | None = None) -> Column:
+    """Endpoint_<hash>_<Kind>, with _Call<id> for a call site. role is producer or consumer, kind Request or Response."""
+    base = F.concat(F.lit("Endpoint_"), fnv64(F.concat_ws("|", col(key), role, kind)), F.lit("_"), kind)
+    if call_id is None:
+        return base
+    return F.when(F.trim(F.coalesce(call_id, F.lit(""))) != "", F.concat(base, F.lit("_Call"), F.trim(call_id))).otherwise(base)
+
+
+def repo_relative(path: Column | str, root: Column | str) -> Column:
+    """The path below the root, if it is there, without a leading ./"""
+    p, r = col(path), F.regexp_replace(col(root), "/+$", "")
+    below = (~r.isin("", ".")) & p.startswith(F.concat(r, F.lit("/")))
+    return F.regexp_replace(F.when(below, F.substring(p, F.length(r) + 2, F.length(p))).otherwise(p), r"^\./", "")
+
+
+def call_site_id(path: Column | str, line: Column | str, key: Column | str, root: Column | str) -> Column:
+    """The id of a call site by its place below the repository's root, and its key."""
+    return fnv64(F.concat_ws("|", repo_relative(path, root), col(line).cast("string"), col(key)))
+
+
+def repo_name(slug: Column | str, path: Column | str) -> Column:
+    """The last part of the owner/repository slug, else of the path."""
+    last = F.element_at(F.filter(F.split(col(path), "/"), lambda s: s != ""), -1)
+    return F.coalesce(F.element_at(F.split(col(slug), "/"), -1), F.when(F.regexp_replace(col(path), "/", "") != "", last), F.lit("."))
+
+
+def scoring_key(key: Column | str) -> Column:
+    """A canonical key as scorers compare it: verb in upper case, parameters as :param, no trailing slash."""
+    parts = F.split(col(key), r"\|", 3)
+    path = compat_path(F.get(parts, F.lit(2)))
+    path = F.when(F.length(path) > 1, F.regexp_replace(path, "/$", "")).otherwise(path)
+    return F.when(F.size(parts) == 3, F.concat_ws("|", F.get(parts, F.lit(0)), F.upper(F.get(parts, F.lit(1))), path)).otherwise(col(key))
+
+
+def one_blank(text: Column | str) -> Column:
+    """Runs of white space as one blank, none at the ends."""
+    return F.trim(F.regexp_replace(col(text), r"\s+", " "))
+
+
 def normalised_top_type(text: Column | str) -> Column:
     """Does a type text hold any or unknown as a type, outside strings and property names?"""
     bare = F.regexp_replace(col(text), "\"[^\"]*\"|'[^']*'|`[^`]*`", "")

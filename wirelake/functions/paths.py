@@ -121,6 +121,19 @@ def join_paths(prefix: Column | str, path: Column | str) -> Column:
     return F.when(has, q).when(q == "/", F.when(p == "", "/").otherwise(p)).otherwise(F.concat(p, q))
 
 
+def join_prefix(prefix: Column | str, path: Column | str) -> Column:
+    """The prefix before the path, whatever the path begins with."""
+    p, q = F.regexp_replace(col(prefix), "/+$", ""), F.regexp_replace(col(path), "^/+", "")
+    return F.when(p == "", F.concat(F.lit("/"), q)).when(q == "", p).otherwise(F.concat_ws("/", p, q))
+
+
+def overlap(a: Column | str, b: Column | str) -> Column:
+    """Do two paths name one route: as many segments, each equal or a parameter on either side?"""
+    x, y = segments(a), segments(b)
+    param = lambda s: is_param(F.regexp_replace(s, r"\?$", ""))
+    return (F.size(x) == F.size(y)) & F.forall(F.zip_with(x, y, lambda s, t: (s == t) | param(s) | param(t)), lambda ok: F.coalesce(ok, F.lit(False)))
+
+
 def normalize_path(path: Column | str) -> Column:
     """Empty segments dropped, one slash in front."""
     return F.concat(F.lit("/"), F.array_join(F.filter(segments(path), lambda s: s != ""), "/"))

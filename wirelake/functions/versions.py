@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from wirelake.functions.paths import col
 
-SEMVER = r"^(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)(-[0-9A-Za-z.-]+)?(\+[0-9A-Za-z.-]+)?$"
+# A strict version's form, and the largest number in it.
+IDENTIFIER = r"(?:0|[1-9]\d*|\d*[A-Za-z-][0-9A-Za-z-]*)"
+SEMVER = rf"^(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)(?:-({IDENTIFIER}(?:\.{IDENTIFIER})*))?(?:\+[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*)?$"
+LARGEST = 2**64 - 1
 
 
 def clean_spec(spec: Column | str) -> Column:
@@ -20,10 +23,19 @@ def clean_spec(spec: Column | str) -> Column:
 
 
 def semver(version: Column | str) -> Column:
-    """(major, minor, patch, release, pre): ordered as versions are, a release after its pre-releases; null if not strict."""
+    """(major, minor, patch, release, pre): ordered as versions are, a release after its pre-releases; null if not strict.
+
+    pre has the identifiers one by one: numbers before words, numbers by size (length, then digits), and a list before its continuations.
+    """
     v = col(version)
     part = lambda i: F.regexp_extract(v, SEMVER, i)
-    return F.when(
-        v.rlike(SEMVER),
-        F.struct(*(part(i + 1).cast("long").alias(n) for i, n in enumerate(("major", "minor", "patch"))), (part(4) == "").alias("release"), part(4).alias("pre")),
+    numbers = [part(i + 1).try_cast("decimal(38,0)") for i in range(3)]
+    number = lambda x: x.rlike(r"^\d+$")
+    pre = F.transform(
+        F.filter(F.split(part(4), r"\."), lambda x: x != ""),
+        lambda x: F.struct((~number(x)).cast("int").alias("word"), F.when(number(x), F.length(x)).otherwise(0).alias("digits"), x.alias("text")),
     )
+    fits = F.lit(True)
+    for n in numbers:
+        fits = fits & F.coalesce(n <= F.lit(str(LARGEST)).cast("decimal(38,0)"), F.lit(False))
+    return F.when(v.rlike(SEMVER) & fits, F.struct(*(n.alias(name) for n, name in zip(numbers, ("major", "minor", "patch"), strict=True)), (part(4) == "").alias("release"), pre.alias("pre")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wirelake.functions import keys, paths
+
 #: Precedence of verdicts: the larger code wins.
 CODES = {"compatible": 0, "unverifiable": 1, "incompatible": 2}
 
@@ -41,6 +43,35 @@ def overlay(edges: DataFrame, outcomes: DataFrame, on: list[str]) -> DataFrame:
     return joined.withColumns({"verdict": verdict_of(F.col("code")), "compatible": compatible, "reason": reason}).drop("code", "first_reason")
 
 
+def overlay_edges(edges: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """edges (producer_key, location, relationship and others) with verdict, compatible and reason by what was checked.
+
+    outcomes has method, identity, consumer_file, consumer_line, bucket, gate, pair_key and diagnostic. They meet by method, path with parameters as one, and the
+    consumer's file and line; line 0 is line 1. Edges without a location, or of protocols that are never checked, have no verdict.
+    """
+    parsed = keys.verdict_key("producer_key")
+    at = {"v_method": parsed["method"], "v_path": paths.compat_path(parsed["identity"]), "v_file": F.when(F.col("location").isNotNull(), keys.file_of("location")), "v_line": F.when(F.col("location").isNotNull(), keys.line_of("location"))}
+    checked = outcomes.select(
+        F.col("method").alias("v_method"), paths.compat_path("identity").alias("v_path"), F.col("consumer_file").alias("v_file"), F.greatest(F.col("consumer_line").cast("int"), F.lit(1)).alias("v_line"),
+        "bucket", "gate", "pair_key", F.coalesce(F.nullif("diagnostic", F.lit("")), F.lit("producer and consumer types are incompatible")).alias("diagnostic"),
+    )
+    return overlay(edges.withColumns(at), checked, list(at)).drop(*at)
+
+
+def with_missing_outcomes(pairs: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """pairs (pair_key) with bucket, gate and diagnostic; a pair that the check returned nothing for is unverifiable."""
+    joined = pairs.join(outcomes.select("pair_key", "bucket", "gate", "diagnostic", F.lit(True).alias("checked")), "pair_key", "left")
+    said = F.when(F.col("checked"), F.col("diagnostic")).otherwise("the check returned no verdict for this pair")
+    return joined.withColumns({"bucket": F.coalesce("bucket", F.lit("unverifiable")), "diagnostic": said}).drop("checked")
+
+
+def producer_provenance(rows: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """rows (method, path) with provenance: that of the endpoints of the same verb and path, parameters as one; a route wins, and none is a route."""
+    own = endpoints.groupBy(F.upper("method").alias("v_method"), paths.compat_path("full_path").alias("v_path")).agg(F.min("prov").alias("least"))
+    met = rows.withColumns({"v_method": F.upper("method"), "v_path": paths.compat_path("path")}).join(own, ["v_method", "v_path"], "left")
+    return met.withColumn("provenance", F.when(F.col("least") == 1, "mock").otherwise("route")).drop("v_method", "v_path", "least")
+
+
 def roll_up(rows: DataFrame, by: list[str]) -> DataFrame:
     """The gravest verdict for each group."""
     return rows.groupBy(*by).agg(verdict_of(F.max(code_of(F.col("bucket")))).alias("verdict"))

@@ -109,6 +109,11 @@ def call_route_status(spark, sf_dir):
     return matching.classified_calls(match(spark, sf_dir)).select("call_id", "route_status")
 
 
+EDGES_SQL = """, edges as (select distinct e.owner_id as producer, 'http|' || b.method || '|' || b.full_path as producer_key, t.owner_id as consumer, 'http|' || t.method || '|' || t.call_path as consumer_key,
+  t.file_location as location, case when e.evidence = 'call_site' then 'shared_external_contract' else 'producer_consumer' end as relationship
+from todo t join best b using (method, call_path) join endpoints e on upper(e.method) = b.method and e.full_path = b.full_path where b.agreement > 0 and e.owner_id <> t.owner_id)"""
+
+
 @query(
     "http_edges",
     http_sql(
@@ -644,7 +649,16 @@ def href_calls(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.explode(links).alias("target"), F.lit("GET").alias("method"))
 
 
-@query("key_hash32", None)
+def fnv_sql(text: str, prime: int, start: int, bits: int) -> str:
+    """FNV-1a over the characters of an ASCII text, in 128-bit numbers."""
+    fold = f"list_reduce(list_transform(string_split({text}, ''), lambda c: ord(c)::hugeint), lambda h, x: xor(h, x) * {prime}::hugeint % {2**bits}::hugeint, {start}::hugeint)"
+    return f"printf('%0{bits // 4}x', {fold}::ubigint)"
+
+
+HASHED = "concat(method, '|', full_path)"
+
+
+@query("key_hash32", with_tables(f" select ordinal, {fnv_sql(HASHED, 16777619, 2166136261, 32)} as pair_id, {fnv_sql(HASHED, 1099511628211, 14695981039346656037, 64)} as alias_id from endpoints"))
 def key_hash32(spark, sf_dir):
     return endpoints(spark, sf_dir).select("ordinal", keys.fnv32(F.concat_ws("|", "method", "full_path")).alias("pair_id"), keys.fnv64(F.concat_ws("|", "method", "full_path")).alias("alias_id"))
 

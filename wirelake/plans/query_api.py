@@ -33,7 +33,8 @@ def get_type_definition(manifest: DataFrame, alias: str) -> DataFrame:
 
 
 def get_service_dependencies(edges: DataFrame, service: str) -> DataFrame:
-    return edges.where(F.col("consumer") == service)
+    """Who depends on the service: the edges that it produces."""
+    return edges.where(F.col("producer") == service)
 
 
 def check_compatibility(verdicts: DataFrame, producer: str, consumer: str) -> DataFrame:

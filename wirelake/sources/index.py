@@ -10,17 +10,18 @@ from pyspark.sql import functions as F
 from wirelake.functions.urls import Config
 from wirelake.sources.schemas import DEFAULTS, REPO
 
-# Directories and endings of source scans.
-IGNORED_DIRS = ("node_modules", "dist", "build", ".next", "ts_check", "coverage", ".git")
-TEST_DIRS = ("test", "tests", "__tests__", "__mocks__", "spec", "e2e", "mocks", "fixtures")
+# Directories that scans skip, directories of tests (skipped) and of mocks (scanned and marked), endings of sources and tests.
+IGNORED_DIRS = ("node_modules", "dist", "build", ".next")
+TEST_DIRS = ("__tests__", "__mocks__", "__fixtures__", "tests", "test", "fixtures", ".storybook")
+MOCK_DIRS = ("mocks", "mock")
 SOURCES = r"\.(js|ts|jsx|tsx)$"
-TEST_FILE = r"\.(test|spec)\.(js|ts|jsx|tsx)$"
+TEST_FILE = r"(?i)\.(test|spec|stories)\.(js|ts|jsx|tsx)$"
 
 
 def write_index(repos: DataFrame, path: str) -> None:
-    """One JSON document for each (repository, service), in folders by both."""
+    """One JSON document for each (repository, service), in folders by both. Documents of others that are there stay."""
     keyed = repos.withColumns({"repo": F.regexp_replace("repo_name", "[/\\\\]", "_"), "service": F.coalesce(F.regexp_replace("service_name", "[/\\\\]", "_"), F.lit("_"))})
-    keyed.write.mode("overwrite").partitionBy("repo", "service").json(path)
+    keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo", "service").json(path)
 
 
 def read_index(spark: SparkSession, path: str, isolate: bool = False) -> DataFrame:
@@ -50,14 +51,16 @@ def scan_sources(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = F.regexp_replace("path", "^[a-z]+:/+", "/")
     below = F.substring(base, len(root.rstrip("/")) + 1, 1 << 20)
-    dirs = F.split(below, "/")
-    return files.where(below.rlike(SOURCES) & ~below.rlike(TEST_FILE) & ~F.exists(dirs, lambda d: d.isin(*IGNORED_DIRS) | F.lower(d).isin(*TEST_DIRS))).select(below.alias("path"), F.decode("content", "UTF-8").alias("content"))
+    folders = F.split(below, "/")
+    folders = F.slice(folders, 1, F.greatest(F.size(folders) - 1, F.lit(0)))
+    wanted = below.rlike(SOURCES) & ~below.rlike(TEST_FILE) & ~F.exists(folders, lambda d: d.isin(*IGNORED_DIRS) | F.lower(d).isin(*TEST_DIRS))
+    return files.where(wanted).select(below.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))  # one bad file doesn't end the job
 
 
 def provenance_of(path: F.Column) -> F.Column:
-    """mock for files in test or mock directories or with such endings, else route."""
+    """mock for files in test or mock directories or with a test's ending, else route."""
     dirs = F.split(F.lower(path), "/")
-    mock = F.exists(F.slice(dirs, 1, F.greatest(F.size(dirs) - 1, F.lit(0))), lambda d: d.isin(*TEST_DIRS)) | F.lower(path).rlike(TEST_FILE)
+    mock = F.exists(F.slice(dirs, 1, F.greatest(F.size(dirs) - 1, F.lit(0))), lambda d: d.isin(*TEST_DIRS, *MOCK_DIRS)) | path.rlike(TEST_FILE)
     return F.when(mock, "mock").otherwise("route")
 
 
