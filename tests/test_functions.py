@@ -92,6 +92,10 @@ def test_versions(spark):
     rows = ["^1.2.0", "~>=1.0.0", "1.0.0 - 2.0.0", "1.0.0 || 2.0.0", "=3.1.4", "3.x"]
     assert values(spark, rows, versions.clean_spec("s"), "s") == ["1.2.0", "1.0.0", "2.0.0", "1.0.0", "3.1.4", "3.x"]
     assert values(spark, [("1.2.0", "1.10.0"), ("1.0.0-a", "1.0.0"), ("5.3", "1.0.0"), ("01.0.0", "1.0.0")], versions.semver("a") < versions.semver("b"), "a", "b") == [True, True, None, None]
+    pairs = [("1.0.0-rc.2", "1.0.0-rc.10"), ("1.0.0-2", "1.0.0-rc"), ("1.0.0-rc", "1.0.0-rc.1"), ("1.0.0-alpha.b", "1.0.0-alpha.beta"), ("1.0.0-9", "1.0.0-10")]
+    assert values(spark, pairs, versions.semver("a") < versions.semver("b"), "a", "b") == [True] * 5
+    odd = [("1.0.0-01", ""), ("18446744073709551616.0.0", ""), ("18446744073709551615.0.0", ""), ("1.0.0-", ""), ("1.0.0-a..b", ""), ("1.0.0+b.01", ""), ("1.0.0+", "")]
+    assert values(spark, odd, versions.semver("a").isNotNull(), "a", "b") == [False, False, True, False, False, True, False]
 
 
 def test_keys(spark):

@@ -145,15 +145,48 @@ def test_manifests_and_findings(spark):
     assert rows(manifests.better_attempt(attempts)) == [("f", 3, 2), ("g", 5, 1)]
     frames = {"missing_endpoint": spark.createDataFrame([("/a",), ("/a",)], "path string"), "dependency_conflict": spark.createDataFrame([("p", "major")], "package string, tier string")}
     found = findings.union_findings(frames)
-    assert rows(findings.summary(found)) == [("dependency_conflict", "risk", 1), ("missing_endpoint", "gap", 1)]
-    text = report.render(found, findings.headline({"risk": 1, "gap": 1}, False))
+    assert rows(findings.summary(found)) == [("dependency_conflict", "gap", 1), ("missing_endpoint", "gap", 1)]
+    text = report.render(found, has_baseline=False)
     assert text.startswith("<!-- issues: 1 -->") and "## Missing endpoints (1)" in text
+    assert report.render(found, has_baseline=True).startswith("<!-- issues: 2 -->")
+    only = findings.union_findings({"dependency_conflict": frames["dependency_conflict"]})  # no column named path
+    assert "## Dependency conflicts (1)" in report.render(only)
+
+
+def test_report_sections(spark):
+    missing = spark.createDataFrame([("GET", f"/r{i:03}", ["a.ts:1", "b.ts:2"]) for i in range(report.MOST_ROWS + 5)], "method string, path string, call_sites array<string>")
+    conflict = spark.createDataFrame([("left|pad", "unparseable")], "package_name string, tier string")
+    found = findings.all_findings({"missing_endpoint": missing, "dependency_conflict": conflict})
+    delta = spark.createDataFrame(
+        [("new", "GET", "/n", "svc", False, None, None), ("removed", "PUT", "/o", None, True, None, None), ("removed", "GET", "/s", None, False, ["pkg"], ["web"])],
+        "change string, method string, path string, service string, still_consumed boolean, packages array<string>, consumers array<string>",
+    )
+    verified = spark.createDataFrame([("GET", "/a", "compatible"), ("GET", "/b", None)], "method string, path string, verdict string")
+    sdk = spark.createDataFrame([("pkg", "web"), ("pkg", "app")], "package string, consumer string")
+    text = report.render(found, True, delta, verified, sdk, graphql=True)
+    for part in (
+        f"<!-- issues: {report.MOST_ROWS + 5} -->", f"## Missing endpoints ({report.MOST_ROWS + 5})", "5 more are in the findings table", "left\\|pad", "- New endpoint `GET /n` (`svc`)", "- Removed `PUT /o`, still called",
+        "- Removed `GET /s`, still reached through pkg by web", "- compatible: 1", "- not compared: 1", "- `pkg`: app, web", "GraphQL",
+    ):
+        assert part in text, part
+    assert "No issues found" in report.render(found.limit(0))
+
+
+def test_findings_fields(spark):
+    rows_ = spark.createDataFrame([("get", "/x", None, ["a:1"], "A", "B", "d" * 500)], "method string, path string, service string, call_sites array<string>, producer_type string, consumer_type string, detail string")
+    found = findings.all_findings({"type_mismatch": rows_, "orphaned_endpoint": rows_.select("method", "path", "service")})
+    assert [len(r[0]) for r in found.where("kind = 'type_mismatch'").select("detail").collect()] == [400]
+    assert rows(found, "kind", "provenance", "severity") == [("orphaned_endpoint", "route", "gap"), ("type_mismatch", "route", "risk")]
+    sent = {r["kind"]: r["payload"] for r in findings.wire(found).collect()}
+    assert sent["orphaned_endpoint"] == '{"kind":"orphaned_endpoint","severity":"gap","method":"get","path":"/x","service":null,"provenance":"route"}'
+    assert '"producer_provenance":"route"' in sent["type_mismatch"]
+    assert [r["kind"] for r in findings.ordered(found).collect()] == ["type_mismatch", "orphaned_endpoint"]
 
 
 def test_scores(spark):
     found = spark.createDataFrame([("x", 1), ("x", 2), ("y", 1)], "g string, k int")
     expected = spark.createDataFrame([("x", 2), ("x", 3), ("z", 1)], "g string, k int")
-    assert rows(scoring.set_scores(found, expected, ["k"], ["g"]), "g", "precision", "recall", "f1") == [("x", 0.5, 0.5, 0.5), ("y", 0.0, 1.0, 0.0), ("z", 1.0, 0.0, 0.0)]
+    assert rows(scoring.set_scores(found, expected, ["k"], ["g"]), "g", "precision", "recall", "f1") == [("x", 0.5, 0.5, 0.5), ("y", 0.0, 1.0, 0.0), ("z", 0.0, 0.0, 0.0)]
     runs = spark.createDataFrame([("g", 1.0)], "g string, v double")
     assert rows(scoring.mean_sd(runs, ["g"], "v")) == [("g", 1.0, 0.0)]
     leaks = scoring.decoy_leaks(spark.createDataFrame([("GET", "/a"), ("GET", "/b"), ("PUT", "/c")], "method string, path string"), spark.createDataFrame([("*", "/a"), ("POST", "/b"), ("PUT", "/c")], "method string, path string"))
@@ -170,6 +203,9 @@ def test_index_round_trip(spark, tmp_path):
     assert rows(back, "owner_id") == [("org/a",), ("svc",)]
     assert rows(index.rows_of(back, "endpoints"), "owner_id", "method", "provenance") == [("org/a", "GET", "route"), ("svc", "GET", "route"), ("svc", "PUT", "route")]
     assert index.read_index(spark, str(tmp_path / "store"), isolate=True).isEmpty()
+    # a second writer leaves the first one's documents, and replaces its own
+    index.write_index(repos.where("repo_name = 'org/b'").withColumn("commit_hash", F.lit("c3")), str(tmp_path / "store"))
+    assert rows(index.read_index(spark, str(tmp_path / "store")), "owner_id", "commit_hash") == [("org/a", "c1"), ("svc", "c3")]
     seen = []
     query = incremental.watch(spark, str(tmp_path / "store"), lambda df, epoch: seen.append(df.count()), str(tmp_path / "check"))
     query.awaitTermination(60)
@@ -177,11 +213,14 @@ def test_index_round_trip(spark, tmp_path):
 
 
 def test_source_scan(spark, tmp_path):
-    for name in ("src/a.ts", "src/a.test.ts", "node_modules/x.js", "tests/b.ts", "README.md"):
+    for name in ("src/a.ts", "src/a.test.ts", "node_modules/x.js", "tests/b.ts", "README.md", "src/mocks/h.ts", "src/__fixtures__/f.ts", ".storybook/p.js", "src/b.stories.tsx", "spec/s.ts", "e2e/t.ts", "coverage/c.js"):
         p = tmp_path / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text("x")
-    assert rows(index.scan_sources(spark, str(tmp_path)), "path") == [("/src/a.ts",)]
+    (tmp_path / "src/bad.js").write_bytes(b"x\xff\xfe")
+    found = index.scan_sources(spark, str(tmp_path))
+    assert rows(found, "path") == [("/coverage/c.js",), ("/e2e/t.ts",), ("/spec/s.ts",), ("/src/a.ts",), ("/src/bad.js",), ("/src/mocks/h.ts",)]
+    assert rows(found.where("path like '%mocks%'").select(index.provenance_of(F.col("path")).alias("p"))) == [("mock",)]
 
 
 def test_delta_and_merge(spark):
