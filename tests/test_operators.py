@@ -233,11 +233,17 @@ def test_analysis(spark, sf):
     from wirelake.plans import queries as q
     from wirelake.sources.derived import CONFIG, calls, endpoints
 
-    edges = q.http_edges(spark, sf).select("producer_key", "consumer_key").distinct()
-    outcomes = edges.withColumns({"bucket": F.lit("incompatible"), "gate": F.lit("none"), "pair_key": F.lit("p"), "diagnostic": F.lit("no")})
+    edges = q.http_edges(spark, sf).selectExpr(
+        "split_part(producer_key, '|', 2) as method", "split_part(producer_key, '|', 3) as identity", "split_part(location, ':', 1) as consumer_file", "cast(split_part(location, ':', 2) as int) as consumer_line"
+    )
+    outcomes = edges.distinct().withColumns({"bucket": F.lit("incompatible"), "gate": F.lit("none"), "pair_key": F.lit("p"), "diagnostic": F.lit("no")})
     done = analysis.analyse(endpoints(spark, sf), calls(spark, sf), q.ops(spark, sf), q.pins(spark, sf), outcomes, CONFIG)
     kinds = {r["kind"] for r in done.findings.select("kind").distinct().collect()}
-    assert {"missing_endpoint", "type_mismatch"} <= kinds and done.edges.count() > 0 and done.verified.count() > 0
+    assert {"missing_endpoint", "type_mismatch", "orphaned_endpoint", "dependency_conflict"} <= kinds and done.edges.count() > 0 and done.verified.count() > 0
+    assert done.findings.where("kind = 'type_mismatch' and (detail <> 'no' or provenance is null or size(call_sites) = 0)").isEmpty()
+    assert done.findings.where("kind = 'dependency_conflict' and size(versions) < 2").isEmpty()
+    text = report.render(done.findings)
+    assert "## Incompatible types" in text and "## Dependency conflicts" in text
 
 
 def test_query_surface(spark):

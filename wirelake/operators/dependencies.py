@@ -38,6 +38,12 @@ def conflicts(merged: DataFrame) -> DataFrame:
     return found.select("package", F.array_join("versions", ",").alias("versions"), "owners", severity.alias("severity"), F.when(F.col("majors") > 1, "major").otherwise("unparseable").alias("tier"))
 
 
+def pinned_versions(merged: DataFrame) -> DataFrame:
+    """(package_name, versions): who pins which version of a package, sorted."""
+    pin = F.struct(F.col("owner_id").alias("repo"), "version", F.lit("package.json").alias("source"))
+    return merged.groupBy(F.col("package").alias("package_name")).agg(F.array_sort(F.collect_list(pin)).alias("versions"))
+
+
 def overrides(resolved: DataFrame) -> DataFrame:
     """(name, version, target): versions below the highest of their compatibility group (major, or 0.minor, or 0.0.patch)."""
     part = lambda i: F.coalesce(F.get(F.split(F.regexp_replace("version", "[-+].*$", ""), r"\."), F.lit(i)).try_cast("int"), F.lit(0))
