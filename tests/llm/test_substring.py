@@ -201,3 +201,34 @@ def test_repeated_ids(docs_of):
     got = {(r["doc_id"], r["n_words"], r["first_id"]) for r in sd.repeated_passages(docs_of(rows)).collect()}
     assert got == {(2, 80, 1)}
     assert sd.repeated_passages(docs_of([])).count() == 0
+
+
+def test_lone_links_as_one_by_one():
+    """Chains of one link, aligned many at a time, give what align_chain gives for each, where no words off the diagonal agree."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    cols = {c: [] for c in ("places", "firsts", "here", "there")}
+    lo = {"here": [], "there": []}
+    expected = []
+    for _ in range(600):
+        size = int(rng.choice([3, 30, 1000]))
+        here, there = rng.integers(0, size, rng.integers(8, 110)).astype(np.int32), rng.integers(0, size, rng.integers(8, 110)).astype(np.int32)
+        p, q = int(rng.integers(0, len(here) - 7)), int(rng.integers(0, len(there) - 7))
+        n = min(len(here) - p, len(there) - q, int(rng.integers(8, 70)))
+        there[q : q + n] = here[p : p + n]
+        for _ in range(int(rng.integers(0, 6))):
+            there[int(rng.integers(0, len(there)))] = -1
+        there[q : q + 8] = here[p : p + 8]
+        a, b = int(rng.integers(0, 50)), int(rng.integers(0, 50))
+        for c, v in zip(cols, ([p + a], [q + b], here, there), strict=True):
+            cols[c].append(v)
+        lo["here"].append(a)
+        lo["there"].append(b)
+        expected.append(sd.align_chain([(p + a, q + b)], here, a, there, b)[0])
+    lists = {c: sd.Lists(pa.array([list(map(int, x)) for x in v], pa.list_(pa.int32()))) for c, v in cols.items()}
+    rows = np.arange(600)
+    pieces, final = sd.align_lone(rows, lists["places"], lists["firsts"], lists["here"], np.array(lo["here"]), lists["there"], np.array(lo["there"]))
+    assert final.sum() > 300
+    for k in rows[final]:
+        assert tuple(pieces[k].tolist()) == expected[k]

@@ -312,22 +312,85 @@ def chain_links(links: DataFrame, kind: str) -> DataFrame:
     return links.mapInArrow(run, f"id {kind}, first_id {kind}, places array<int>, firsts array<int>")
 
 
+class Lists:
+    """A column of lists as one array with the places where each begins and ends."""
+
+    def __init__(self, column: pa.ListArray):
+        offsets = column.offsets.to_numpy().astype(np.int64)
+        self.begin, self.end, self.values = offsets[:-1], offsets[1:], column.values.to_numpy()
+
+    def __getitem__(self, row: int) -> np.ndarray:
+        return self.values[self.begin[row] : self.end[row]]
+
+
+def flank(words: Lists, rows: np.ndarray, at: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, which exist) from the places at on, forwards or backwards, FLANK of them for each row."""
+    index = at[:, None] + step * np.arange(FLANK)[None, :]
+    inside = (index >= words.begin[rows][:, None]) & (index < words.end[rows][:, None])
+    return words.values[np.where(inside, index, 0)], inside
+
+
+def extend_all(here: tuple[np.ndarray, np.ndarray], there: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What extend() does up to its first look for equal words off the diagonal, for many at once: (words taken in, edits, whether that look finds any)."""
+    (a, a_in), (b, b_in) = here, there
+    rows, valid = np.arange(len(a)), a_in & b_in
+    equal = valid & (a == b)
+    score = np.cumsum(np.where(equal, 1, -MISS), axis=1)
+    fallen = (np.maximum.accumulate(np.maximum(score, 0), axis=1) - score > DROP) | ~valid
+    stop = np.where(fallen.any(axis=1), fallen.argmax(axis=1), FLANK)
+    best = np.where(np.arange(FLANK)[None, :] < stop[:, None], score, -(1 << 30)).argmax(axis=1)
+    taken = np.where((stop > 0) & (score[rows, best] > 0), best + 1, 0)
+    missed = np.cumsum(~equal, axis=1)[rows, np.maximum(taken - 1, 0)] * (taken > 0)
+    size = REACH + AGREE
+    index = taken[:, None] + np.arange(size)[None, :]
+    inside, index = index < FLANK, np.minimum(index, FLANK - 1)
+    x, y = (m[rows[:, None], index] for m in (a, b))
+    x_in, y_in = (m[rows[:, None], index] & inside for m in (a_in, b_in))
+    same = (x[:, :, None] == y[:, None, :]) & x_in[:, :, None] & y_in[:, None, :]
+    wide = size - AGREE + 1
+    runs = np.ones((len(a), wide, wide), bool)
+    for k in range(AGREE):
+        runs &= same[:, k : k + wide, k : k + wide]
+    return taken, missed, runs.any(axis=(1, 2))
+
+
+def align_lone(rows: np.ndarray, places: Lists, firsts: Lists, here: Lists, here_lo: np.ndarray, there: Lists, there_lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces, which are final) of chains of one link: what align_chain() gives for them, unless words off the diagonal agree."""
+    p, q = places.values[places.begin[rows]].astype(np.int64), firsts.values[firsts.begin[rows]].astype(np.int64)
+    x, y = here.begin[rows] + p - here_lo[rows], there.begin[rows] + q - there_lo[rows]
+    more, miss, off = extend_all(flank(here, rows, x + K, 1), flank(there, rows, y + K, 1))
+    less, miss2, off2 = extend_all(flank(here, rows, x - 1, -1), flank(there, rows, y - 1, -1))
+    edits = miss + miss2
+    wide = edits <= (more + less + K) * (1 - IDENTITY)
+    more, less, edits = (np.where(wide, v, 0) for v in (more, less, edits))
+    return np.stack([p - less, p + K + more, q - less, q + K + more, edits], axis=1), ~(off | off2)
+
+
 def align_all(both: DataFrame, kind: str) -> DataFrame:
-    """Aligned pieces (id, first_id, start, end, first_start, first_end, edits)."""
+    """Aligned pieces (id, first_id, start, end, first_start, first_end, edits) of PIECE_WORDS words or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, out = [], []
-            for x in range(batch.num_rows):
-                cell = lambda name: batch.column(name)[x]  # noqa: B023, E731
-                chain = list(zip(cell("places").values.to_pylist(), cell("firsts").values.to_pylist(), strict=True))
-                here, there = cell("here").values.to_numpy(), cell("there").values.to_numpy()
-                found = align_chain(chain, here, cell("here_lo").as_py(), there, cell("there_lo").as_py())
-                rows += [x] * len(found)
-                out += found
-            at = pa.array(rows, pa.int64())
-            col = lambda i: pa.array([r[i] for r in out], pa.int32())  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("first_id").take(at), *(col(i) for i in range(5))], names=["id", "first_id", "start", "end", "first_start", "first_end", "edits"])
+            places, firsts, here, there = (Lists(batch.column(c)) for c in ("places", "firsts", "here", "there"))
+            here_lo, there_lo = (batch.column(c).to_numpy().astype(np.int64) for c in ("here_lo", "there_lo"))
+            rows, out = [np.zeros(0, np.int64)], [np.zeros((0, 5), np.int64)]
+            lone = np.flatnonzero(places.end - places.begin == 1)
+            rest = np.flatnonzero(places.end - places.begin > 1)
+            for lo in range(0, len(lone), 4096):
+                part = lone[lo : lo + 4096]
+                pieces, final = align_lone(part, places, firsts, here, here_lo, there, there_lo)
+                rows.append(part[final])
+                out.append(pieces[final])
+                rest = np.concatenate([rest, part[~final]])
+            for x in rest.tolist():
+                chain = list(zip(places[x].tolist(), firsts[x].tolist(), strict=True))
+                found = align_chain(chain, here[x], int(here_lo[x]), there[x], int(there_lo[x]))
+                rows.append(np.full(len(found), x))
+                out.append(np.array(found, np.int64).reshape(-1, 5))
+            at, pieces = np.concatenate(rows), np.concatenate(out)
+            long = pieces[:, 1] - pieces[:, 0] >= PIECE_WORDS
+            at, pieces = pa.array(at[long]), pieces[long]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("first_id").take(at), *(pa.array(pieces[:, i].astype(np.int32)) for i in range(5))], names=["id", "first_id", "start", "end", "first_start", "first_end", "edits"])
 
     return both.mapInArrow(run, f"id {kind}, first_id {kind}, start int, end int, first_start int, first_end int, edits int")
 
