@@ -180,7 +180,7 @@ IMPORTED = ["concat('r', cast(n_nationkey % 4 as string)) as repo", "concat('f',
 OWNERS_SQL = f"""with e as (select {', '.join(OWNED)} from orders), b as (select {', '.join(BOUND)} from supplier), i as (select {', '.join(IMPORTED)} from nation),
 best as (select repo, file, case when count(distinct child) = 1 then min(child) end as child from (
   select *, max(length(pattern)) over (partition by repo, file) as top from (select distinct e.repo, e.file, i.pattern, i.child from e join i on i.repo = e.repo and contains(e.file, i.pattern))) where length(pattern) = top group by repo, file)
-select id, case when (select count(*) from b where b.repo = e.repo and b.file = e.file) = 1 then (select child from b where b.repo = e.repo and b.file = e.file)
+select id, case when (select count(*) from b where b.repo = e.repo and b.file = e.file) = 1 then (select min(child) from b where b.repo = e.repo and b.file = e.file)
   when (select count(*) from b where b.repo = e.repo and b.file = e.file) > 1 then coalesce((select arg_min(child, ordinal) from b where b.repo = e.repo and b.file = e.file and b.local_name = e.owner), owner)
   else coalesce(best.child, owner) end as resolved from e left join best using (repo, file)"""
 
