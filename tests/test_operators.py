@@ -259,3 +259,11 @@ def test_long_chain_of_calls(spark):
     assert sorted(map(tuple, reached.collect())) == [(i, i) for i in range(68)]
     found = graphs.levels(spark.range(68).select(F.col("id").alias("node")), edges)
     assert sorted(map(tuple, found.collect())) == [(i, 67 - i) for i in range(68)]
+
+
+def test_ownership_plans_do_not_grow_with_the_rounds(spark):
+    nodes = spark.range(2, 1024)
+    facts = nodes.where("id between 4 and 7").selectExpr("id as slot", "concat('v', cast(id % 3 as string)) as value")
+    out = graphs.ownership(facts, nodes.selectExpr("id div 2 as src", "id as dst"))
+    assert len(out._jdf.queryExecution().optimizedPlan().constraints().toString()) < 500  # a union's constraints doubled each round
+    assert out.count() == 1020 and out.where("value = 'v0'").count() == 255

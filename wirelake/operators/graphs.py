@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirelake.functions import paths
-from wirelake.sources.checkpoints import cut
+from wirelake.sources.checkpoints import cut, cut_plain
 
 MOST_ROUNDS = 64
 
@@ -96,10 +96,10 @@ def follow_exports(exports: DataFrame, asked: DataFrame, most: int = 8) -> DataF
 def ownership(facts: DataFrame, flows: DataFrame, most: int = MOST_ROUNDS) -> DataFrame:
     """(slot, value): values of facts (slot, value) carried along flows (src, dst) to a fixpoint; slots that two values reach are in conflict (null)."""
     top = F.lit("\u0000conflict")
-    state = cut(facts.groupBy("slot").agg(F.when(F.count_distinct("value") > 1, top).otherwise(F.min("value")).alias("value")))
+    state = cut_plain(facts.groupBy("slot").agg(F.when(F.count_distinct("value") > 1, top).otherwise(F.min("value")).alias("value")))
     for _ in range(most):
         moved = flows.join(state.withColumnRenamed("slot", "src"), "src").select(F.col("dst").alias("slot"), "value")
-        new = cut(state.unionByName(moved).groupBy("slot").agg(F.when((F.count_distinct("value") > 1) | (F.max("value") == top) | (F.min("value") == top), top).otherwise(F.min("value")).alias("value")))
+        new = cut_plain(state.unionByName(moved).groupBy("slot").agg(F.when((F.count_distinct("value") > 1) | (F.max("value") == top) | (F.min("value") == top), top).otherwise(F.min("value")).alias("value")))
         same = new.exceptAll(state).isEmpty()
         state = new
         if same:

@@ -22,3 +22,17 @@ def cut(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder: its plan ends there, and lost executors cost nothing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def cut_plain(df: DataFrame) -> DataFrame:
+    """cut() that carries no inferred constraints along, for loops over unions.
+
+    A checkpoint keeps its plan's constraints, and a union joins its sides' constraints by OR: in a loop they double each round.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return cut(df)
+    finally:
+        conf.set(key, before)
