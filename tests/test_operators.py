@@ -27,6 +27,14 @@ def test_candidates_miss_no_match(spark):
     assert rows(theta) == rows(kept) and theta.count() > 100
 
 
+def test_candidates_of_paths_with_one_first_segment_are_not_all_pairs(spark):
+    e = spark.range(200).selectExpr("'GET' as method", "concat('/a/x', id) as full_path").unionByName(spark.createDataFrame([("GET", "/a/:id"), ("GET", "/a/*")], "method string, full_path string"))
+    c = spark.range(200).selectExpr("'GET' as method", "concat('/a/x', id) as call_path").unionByName(spark.createDataFrame([("GET", "/a/{k}")], "method string, call_path string"))
+    pairs = matching.candidate_pairs(e, c)
+    assert pairs.count() == 200 + 2 * 200 + 202  # equal paths, open routes with each path, an open call with each route
+    assert pairs.where(~paths.paths_match("full_path", "call_path")).isEmpty()
+
+
 def two_services(spark):
     e = spark.createDataFrame(
         [

@@ -1,8 +1,8 @@
 """Matching consumer calls with producer routes.
 
 The reference rule is a theta join on method and path pattern. Here it becomes equi-joins over distinct (method, path)
-pairs: a path's number of segments and first segment are keys, and catch-all prefixes meet the call path's own
-prefixes; the exact agreement is computed on the candidates only.
+pairs: for each pair of masks (which segments of a route and of a call are open) that occurs, all other segments are the
+key, and catch-all prefixes meet the call path's own prefixes; the exact agreement is computed on the candidates only.
 """
 
 from __future__ import annotations
@@ -18,9 +18,20 @@ from wirelake.sources.checkpoints import cut
 ANY, ALL = "*", "/"
 
 
-def first_token(path: str) -> F.Column:
-    seg = paths.without_marks(F.get(paths.segments(path), F.lit(1)))
-    return F.when(paths.is_param(seg) | (seg == "*"), ANY).otherwise(F.coalesce(seg, F.lit("")))
+def open_mask(segs: F.Column, wildcard: bool) -> F.Column:
+    """A text with 1 for each segment that may take other values: a parameter, or * if wildcard."""
+
+    def mark(raw: F.Column) -> F.Column:
+        seg = paths.without_marks(raw)
+        return F.when(paths.is_param(seg) | (seg == "*") if wildcard else paths.is_param(seg), "1").otherwise("0")
+
+    return F.array_join(F.transform(segs, mark), "")
+
+
+def fixed_part(segs: F.Column) -> F.Column:
+    """The segments that neither route_mask nor call_mask leaves open, without optional marks."""
+    is_open = lambda i: (F.substring("route_mask", i + 1, 1) == "1") | (F.substring("call_mask", i + 1, 1) == "1")
+    return F.array_join(F.transform(segs, lambda s, i: F.when(is_open(i), "").otherwise(paths.without_marks(s))), "/")
 
 
 def candidate_pairs(endpoints: DataFrame, calls: DataFrame) -> DataFrame:
@@ -29,13 +40,13 @@ def candidate_pairs(endpoints: DataFrame, calls: DataFrame) -> DataFrame:
     c = calls.select(F.upper("method").alias("method"), "call_path").distinct()
     segs = paths.segments("full_path")
     required = F.size(F.filter(segs, lambda s: ~s.endswith("?")))
-    by_length = e.select("method", "full_path", F.explode(F.sequence(required, F.size(segs))).alias("n"), first_token("full_path").alias("token")).select(
-        "method", "full_path", "n", F.explode(F.array("token", F.lit(ALL))).alias("token")
-    )
-    own = first_token("call_path")
-    seen = F.when(own == ANY, F.array(F.lit(ALL))).otherwise(F.array(own, F.lit(ANY)))
-    lengths = c.select("method", "call_path", F.size(paths.segments("call_path")).alias("n"), F.explode(seen).alias("token"))
-    same_length = lengths.join(by_length, ["method", "n", "token"]).select("method", "full_path", "call_path")
+    by_length = e.select("method", "full_path", F.explode(F.sequence(required, F.size(segs))).alias("n")).withColumn("route_mask", open_mask(F.slice(segs, F.lit(1), F.col("n")), True))
+    lengths = c.select("method", "call_path", F.size(paths.segments("call_path")).alias("n")).withColumn("call_mask", open_mask(paths.segments("call_path"), False))
+    masks = by_length.select("method", "n", "route_mask").distinct().join(lengths.select("method", "n", "call_mask").distinct(), ["method", "n"])
+    masks = cut(masks)
+    routes = by_length.join(masks, ["method", "n", "route_mask"]).withColumn("fixed", fixed_part(F.slice(segs, F.lit(1), F.col("n"))))
+    asked = lengths.join(masks, ["method", "n", "call_mask"]).withColumn("fixed", fixed_part(paths.segments("call_path")))
+    same_length = asked.join(routes, ["method", "n", "route_mask", "call_mask", "fixed"]).select("method", "full_path", "call_path")
     prefixed = e.where(paths.is_catch_all("full_path")).select("method", "full_path", paths.catch_all_prefix("full_path").alias("prefix"))
     cuts = F.transform(F.sequence(F.lit(1), F.size(paths.segments("call_path"))), lambda k: F.array_join(F.slice(paths.segments("call_path"), F.lit(1), k), "/"))
     inside = c.select("method", "call_path", F.explode(cuts).alias("prefix")).join(prefixed, ["method", "prefix"]).select("method", "full_path", "call_path")
