@@ -18,6 +18,12 @@ from wirelake.sources.checkpoints import cut
 ANY, ALL = "*", "/"
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt by hash to tasks for all cores: what follows costs far more than its bytes tell, and would be left to a task or two."""
+    spark = df.sparkSession
+    return df.repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *by)
+
+
 def open_mask(segs: F.Column, wildcard: bool) -> F.Column:
     """A text with 1 for each segment that may take other values: a parameter, or * if wildcard."""
 
@@ -50,7 +56,7 @@ def candidate_pairs(endpoints: DataFrame, calls: DataFrame) -> DataFrame:
     prefixed = e.where(paths.is_catch_all("full_path")).select("method", "full_path", paths.catch_all_prefix("full_path").alias("prefix"))
     cuts = F.transform(F.sequence(F.lit(1), F.size(paths.segments("call_path"))), lambda k: F.array_join(F.slice(paths.segments("call_path"), F.lit(1), k), "/"))
     inside = c.select("method", "call_path", F.explode(cuts).alias("prefix")).join(prefixed, ["method", "prefix"]).select("method", "full_path", "call_path")
-    return same_length.unionByName(inside).distinct()
+    return spread(same_length.unionByName(inside), "method", "full_path", "call_path").distinct()
 
 
 def best_matches(endpoints: DataFrame, calls: DataFrame) -> DataFrame:
@@ -75,7 +81,7 @@ def route_calls(calls: DataFrame, config: Config) -> DataFrame:
         return F.struct(route.alias("route"), normal["path"].alias("call_path"), F.when(env, urls.env_var_name(route)).alias("env_var"), status.alias("route_status"))
 
     routed = paths.let(urls.consumer_call_path("target_url", config), lambda route: paths.let(urls.normalize_url(route, config), lambda normal: of(route, normal)))
-    valid = calls.where(urls.is_valid_route_shape(urls.unquoted("target_url")))
+    valid = spread(calls.where(urls.is_valid_route_shape(urls.unquoted("target_url"))), *calls.columns)
     return valid.withColumn("routed", routed).select(*(c for c in calls.columns if c != "method"), F.upper("method").alias("method"), "routed.*")
 
 
@@ -108,14 +114,27 @@ def classified_calls(match: HttpMatch) -> DataFrame:
 def http_edges(match: HttpMatch) -> DataFrame:
     """One row for each producer route and consumer call of different owners that match with agreement over 0."""
     best = match.best.where("agreement > 0")
-    producers = match.endpoints.select(F.upper("method").alias("method"), "full_path", F.col("owner_id").alias("producer"), "evidence", "prov")
-    edges = match.todo.withColumnRenamed("owner_id", "consumer").join(best, ["method", "call_path"]).join(producers, ["method", "full_path"])
     relationship = F.when(F.col("evidence") == "call_site", "shared_external_contract").otherwise("producer_consumer")
-    return edges.where("producer <> consumer").select(
+    producers = match.endpoints.select(F.upper("method").alias("method"), "full_path", F.col("owner_id").alias("producer"), relationship.alias("relationship")).distinct()
+    consumers = match.todo.select("method", "call_path", F.col("owner_id").alias("consumer"), F.col("file_location").alias("location")).distinct()
+    pairs = consumers.join(best, ["method", "call_path"]).join(producers, ["method", "full_path"]).where("producer <> consumer")
+    # rows differ as the parts they are made of do, but where a | in a method or in both paths lets two keys read the same
+    odd = F.col("method").contains("|") | (F.col("full_path").contains("|") & F.col("call_path").contains("|"))
+    edges = lambda df: df.select(
         "producer", F.concat_ws("|", F.lit("http"), "method", "full_path").alias("producer_key"),
         "consumer", F.concat_ws("|", F.lit("http"), "method", "call_path").alias("consumer_key"),
-        F.col("file_location").alias("location"), relationship.alias("relationship"), "agreement",
-    ).distinct()
+        "location", "relationship", "agreement",
+    )
+    return edges(pairs.where(~odd)).unionByName(edges(pairs.where(odd)).distinct())
+
+
+def service_dependencies(match: HttpMatch) -> DataFrame:
+    """(service, consumer, n_routes): how many distinct (method, call path) of a consumer reach another service."""
+    best = match.best.where("agreement > 0")
+    producers = match.endpoints.select(F.upper("method").alias("method"), "full_path", F.col("owner_id").alias("service")).distinct()
+    reached = best.join(producers, ["method", "full_path"]).select("method", "call_path", "service").distinct()
+    consumers = match.todo.select("method", "call_path", F.col("owner_id").alias("consumer")).distinct()
+    return consumers.join(reached, ["method", "call_path"]).where("service <> consumer").groupBy("service", "consumer").agg(F.count(F.lit(1)).alias("n_routes"))
 
 
 def missing_endpoints(match: HttpMatch) -> DataFrame:
@@ -166,10 +185,12 @@ def env_var_calls(match: HttpMatch) -> DataFrame:
 def shared_external_contracts(match: HttpMatch) -> DataFrame:
     """(method, path, repos, n_sites): external routes that two services or more call, known from their call sites."""
     best = match.best.where("agreement > 0")
-    sites = match.endpoints.where("evidence = 'call_site'").select(F.upper("method").alias("method"), "full_path", F.col("owner_id").alias("producer"), F.col("file_location").alias("site"))
-    pairs = match.todo.select("method", "call_path", F.col("owner_id").alias("consumer"), "file_location").join(best, ["method", "call_path"]).join(sites, ["method", "full_path"])
-    both = pairs.select("method", "full_path", F.explode(F.array(F.struct(F.col("producer").alias("repo"), "site"), F.struct(F.col("consumer").alias("repo"), F.col("file_location").alias("site")))).alias("x"))
-    out = both.groupBy("method", F.col("full_path").alias("path")).agg(F.array_sort(F.collect_set("x.repo")).alias("repos"), F.count_distinct("x.site").alias("n_sites"))
+    sites = match.endpoints.where("evidence = 'call_site'").select(F.upper("method").alias("method"), "full_path", F.col("owner_id").alias("repo"), F.col("file_location").alias("site")).distinct()
+    met = best.join(sites.select("method", "full_path").distinct(), ["method", "full_path"])
+    callers = match.todo.select("method", "call_path", F.col("owner_id").alias("repo"), F.col("file_location").alias("site")).distinct().join(met, ["method", "call_path"])
+    own = sites.join(met.select("method", "full_path").distinct(), ["method", "full_path"], "left_semi")
+    both = own.unionByName(callers.select("method", "full_path", "repo", "site"))
+    out = both.groupBy("method", F.col("full_path").alias("path")).agg(F.array_sort(F.collect_set("repo")).alias("repos"), F.count_distinct("site").alias("n_sites"))
     return out.where(F.size("repos") >= 2).withColumn("repos", F.array_join("repos", ","))
 
 

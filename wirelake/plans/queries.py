@@ -181,7 +181,7 @@ def shared_external_contract(spark, sf_dir):
     http_sql(" select e.owner_id as service, t.owner_id as consumer, count(distinct (t.method, t.call_path)) as n_routes from todo t join best b using (method, call_path) join endpoints e on upper(e.method) = b.method and e.full_path = b.full_path where b.agreement > 0 and e.owner_id <> t.owner_id group by all"),
 )
 def service_dependencies(spark, sf_dir):
-    return matching.http_edges(match(spark, sf_dir)).groupBy(F.col("producer").alias("service"), "consumer").agg(F.count_distinct("consumer_key").alias("n_routes"))
+    return matching.service_dependencies(match(spark, sf_dir))
 
 
 FOUND = """, found as (
