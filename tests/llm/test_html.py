@@ -1,5 +1,6 @@
 from collections import Counter
 from html.parser import HTMLParser
+from itertools import combinations
 
 from wirelake.llm import html_wrappers as hw
 
@@ -152,3 +153,16 @@ def test_operator(spark, clash):
     assert got[95]["n_chars"] == 2 + 60_000 * 2 - 1
     empty = pages.where("page_id < 0")
     assert hw.extract_main_text(empty).count() == 0
+
+
+def test_a_host_keeps_the_wrappers_of_all_its_shapes(spark):
+    tags = "section ul ol dl table pre blockquote figure address details h1 h2 h3 h4 h5 h6 p div main article".split()
+    chosen: list[tuple] = []
+    for four in combinations(tags, 4):  # no two have more than one element in common
+        if all(len(set(four) & set(other)) <= 1 for other in chosen):
+            chosen.append(four)
+    pages = [("a.test", "<body>" + "".join(f"<{t}>" for t in four) + "text" + "".join(f"</{t}>" for t in reversed(four)) + "</body>") for four in chosen]
+    separate = hw.merge([hw.read(hw.expression(html)) for _, html in pages])
+    df = spark.createDataFrame(pages, "host string, html string")
+    found = hw.infer_wrappers(df, hw.find_constants(df)).collect()
+    assert len(separate) > 16 and len(found[0].wrappers) > 16

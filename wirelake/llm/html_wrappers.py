@@ -55,8 +55,8 @@ END_OF = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 CONSTANT_SHARE, CONSTANT_PAGES = 0.95, 8
 #: Constants and wrappers of up to this many bytes in all are broadcast.
 BROADCAST_BYTES = 32 << 20
-#: Expressions that one task aligns in a round, about; the least share of tokens that two must have in common; most wrappers of a host. Pages
-#: of other shapes are cut by their own elements.
+#: Expressions that one task aligns in a round, about; the least share of tokens that two must have in common; from so many wrappers of a host
+#: down, rounds end. All that are left are used.
 TOGETHER, ALIKE, MOST_WRAPPERS = 16, 0.5, 16
 
 Token = tuple[str, str]  # (item, text): the item of a text is "#", or "=" and its hash for a constant
@@ -493,7 +493,7 @@ def infer_wrappers(pages: DataFrame, constants: DataFrame) -> DataFrame:
         left = now.groupBy("host").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
         if left <= MOST_WRAPPERS or left >= most:  # what is left has too little in common
             break
-    return now.groupBy("host").agg(F.array_sort(F.collect_set("wrapper")).alias("wrappers")).select("host", F.slice("wrappers", 1, MOST_WRAPPERS).alias("wrappers"))
+    return now.groupBy("host").agg(F.array_sort(F.collect_set("wrapper")).alias("wrappers"))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
