@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -131,17 +132,32 @@ def has_injected_base(u: Column) -> Column:
     return shape & ~u.contains("process.env.") & ~u.contains("import.meta.env.") & ~base.rlike("^[A-Z_0-9]+$")
 
 
+def is_call_path(u: Column, normal: Column) -> Column:
+    """Does the normal path stand for the unquoted URL in calls?"""
+    relative = u.startswith("/") & ~u.startswith("//")
+    return normal["is_internal"] | relative | u.rlike("^(https?:)?//") | (~normal["is_external"] & has_injected_base(u))
+
+
 def consumer_call_path(url: Column | str, config: Config) -> Column:
     """The normal path of internal, relative, absolute and injected-base URLs; any other URL as it is."""
 
     def of(u: Column, normal: Column) -> Column:
-        relative = u.startswith("/") & ~u.startswith("//")
-        known = normal["is_internal"] | relative | u.rlike("^(https?:)?//") | (~normal["is_external"] & has_injected_base(u))
-        return F.when(known, normal["path"]).otherwise(col(url))
+        return F.when(is_call_path(u, normal), normal["path"]).otherwise(col(url))
 
     return let(unquoted(url), lambda u: let(_normalized(u, config), lambda normal: of(u, normal)))
 
 
+def consumer_route(url: Column | str, config: Config, body: Callable[[Column, Column, Column], Column]) -> Column:
+    """body of consumer_call_path(), its normal form and the URL's own normal form, which are one where the URL stays as it is."""
+
+    def of(u: Column, own: Column) -> Column:
+        known = is_call_path(u, own)
+        both = F.struct(F.when(known, own["path"]).otherwise(col(url)).alias("route"), F.when(known, normalize_url(own["path"], config)).otherwise(own).alias("normal"))
+        return let(both, lambda x: body(x["route"], x["normal"], own))
+
+    return let(unquoted(url), lambda u: let(_normalized(u, config), lambda own: of(u, own)))
+
+
 def has_literal_segment(path: Column | str) -> Column:
     p = F.regexp_extract(col(path), r"(?s)^([^?#]*)", 1)
     literal = lambda s: (s != "") & (s != "*") & ~is_param(s) & (F.regexp_replace(s, r"^(\$\{[^}]*\})+", "") != "")

@@ -7,6 +7,8 @@ key, and catch-all prefixes meet the call path's own prefixes; the exact agreeme
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +49,9 @@ def candidate_pairs(endpoints: DataFrame, calls: DataFrame) -> DataFrame:
     segs = paths.segments("full_path")
     required = F.size(F.filter(segs, lambda s: ~s.endswith("?")))
     by_length = e.select("method", "full_path", F.explode(F.sequence(required, F.size(segs))).alias("n")).withColumn("route_mask", open_mask(F.slice(segs, F.lit(1), F.col("n")), True))
+    by_length = cut(spread(by_length, *by_length.columns))
     lengths = c.select("method", "call_path", F.size(paths.segments("call_path")).alias("n")).withColumn("call_mask", open_mask(paths.segments("call_path"), False))
+    lengths = cut(lengths)
     masks = by_length.select("method", "n", "route_mask").distinct().join(lengths.select("method", "n", "call_mask").distinct(), ["method", "n"])
     masks = cut(masks)
     routes = by_length.join(masks, ["method", "n", "route_mask"]).withColumn("fixed", fixed_part(F.slice(segs, F.lit(1), F.col("n"))))
@@ -61,9 +65,9 @@ def candidate_pairs(endpoints: DataFrame, calls: DataFrame) -> DataFrame:
 
 def best_matches(endpoints: DataFrame, calls: DataFrame) -> DataFrame:
     """(method, call_path, full_path, agreement): for each distinct call the routes of highest agreement, ties kept."""
-    scored = candidate_pairs(endpoints, calls).withColumn("agreement", paths.match_agreement("full_path", "call_path")).where("agreement is not null")
-    top = Window.partitionBy("method", "call_path").orderBy(F.desc("agreement"))
-    return scored.withColumn("rank", F.rank().over(top)).where("rank = 1").drop("rank")
+    scored = candidate_pairs(endpoints, calls).withColumn("agreement", paths.match_agreement("full_path", "call_path"))
+    top = Window.partitionBy("method", "call_path").orderBy(F.desc("agreement"))  # nulls come last; a filter before it would compute each agreement twice
+    return scored.withColumn("rank", F.rank().over(top)).where("rank = 1 and agreement is not null").drop("rank")
 
 
 def route_calls(calls: DataFrame, config: Config) -> DataFrame:
@@ -71,28 +75,41 @@ def route_calls(calls: DataFrame, config: Config) -> DataFrame:
 
     route_status is external, unresolved or env_undeclared, or null for calls that go on to matching.
     """
-    def of(route: F.Column, normal: F.Column) -> F.Column:
+    def of(route: F.Column, normal: F.Column, own: F.Column) -> F.Column:
         env = urls.is_env_var_base(route)
         status = (
-            F.when(urls.is_declared_call(route, config.external_env, config.external_domains) | urls.normalize_url("target_url", config)["is_external"], "external")
+            F.when(urls.is_declared_call(route, config.external_env, config.external_domains) | own["is_external"], "external")
             .when(normal["is_unresolved"], "unresolved")
             .when(env & ~normal["is_internal"], "env_undeclared")
         )
         return F.struct(route.alias("route"), normal["path"].alias("call_path"), F.when(env, urls.env_var_name(route)).alias("env_var"), status.alias("route_status"))
 
-    routed = paths.let(urls.consumer_call_path("target_url", config), lambda route: paths.let(urls.normalize_url(route, config), lambda normal: of(route, normal)))
-    valid = spread(calls.where(urls.is_valid_route_shape(urls.unquoted("target_url"))), *calls.columns)
-    return valid.withColumn("routed", routed).select(*(c for c in calls.columns if c != "method"), F.upper("method").alias("method"), "routed.*")
+    # what makes up target_url would be put in each place that reads it
+    valid = cut(spread(calls, *calls.columns)).where(urls.is_valid_route_shape(urls.unquoted("target_url")))
+    return valid.withColumn("routed", urls.consumer_route("target_url", config, of)).select(*(c for c in calls.columns if c != "method"), F.upper("method").alias("method"), "routed.*")
 
 
 class HttpMatch:
-    """Routed calls and their best routes, computed once for all the results that read them."""
+    """Routed calls and their best routes, computed once for all the results that read them, when the first one does."""
 
     def __init__(self, endpoints: DataFrame, calls: DataFrame, config: Config):
-        self.endpoints = endpoints
-        self.routed = cut(route_calls(calls, config))
-        self.todo = self.routed.where("route_status is null")
-        self.best = cut(best_matches(endpoints, self.todo))
+        self._endpoints, self._calls, self._config = endpoints, calls, config
+
+    @cached_property
+    def endpoints(self) -> DataFrame:
+        return cut(spread(self._endpoints, *self._endpoints.columns))
+
+    @cached_property
+    def routed(self) -> DataFrame:
+        return cut(route_calls(self._calls, self._config))
+
+    @property
+    def todo(self) -> DataFrame:
+        return self.routed.where("route_status is null")
+
+    @cached_property
+    def best(self) -> DataFrame:
+        return cut(best_matches(self.endpoints, self.todo))
 
     @property
     def matched(self) -> DataFrame:
