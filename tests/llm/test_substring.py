@@ -232,3 +232,47 @@ def test_lone_links_as_one_by_one():
     assert final.sum() > 300
     for k in rows[final]:
         assert tuple(pieces[k].tolist()) == expected[k]
+
+
+def test_seeds_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(3)
+    lengths = [0, 3, 7, 8, 9, 10, 11, 12, 40, 0, 200]
+    starts = np.cumsum([0, *lengths])
+    words = rng.integers(0, 50, starts[-1]).astype(np.uint64)
+    seeds, texts, places = sd.minimizers(words, starts)
+    expected = []
+    for i in range(len(lengths)):
+        g = sd.kmers(words[starts[i] : starts[i + 1]])
+        for x in range(max(1, len(g) - sd.PICK + 1) if len(g) else 0):
+            at = x + int(g[x : x + sd.PICK].argmin())
+            expected.append((i, at, int(g[at])))
+    assert sorted(set(expected)) == sorted(zip(texts.tolist(), places.tolist(), seeds.tolist(), strict=True))
+
+
+def test_each_place_of_a_seed_leads_to_its_first(spark):
+    rng = np.random.default_rng(4)
+    rows = sorted({(int(s), int(i), int(p)) for s, i, p in rng.integers(0, [40, 30, 500], (5000, 3))} | {(7, 1000 + i, 0) for i in range(25_000)})
+    firsts = {}
+    for s, i, p in rows:
+        firsts.setdefault(s, (i, p))
+    expected = sorted((i, p, *firsts[s]) for s, i, p in rows if i != firsts[s][0])
+    seeds = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "seed long, id long, pos int")
+    links = sd.first_links(seeds, "bigint")
+    assert "SortMergeJoin" not in links._jdf.queryExecution().toString()  # one pass over the seeds
+    assert sorted(tuple(r) for r in links.collect()) == expected
+
+
+def test_chains_of_plain_pairs_are_those_of_the_search(spark):
+    rng = np.random.default_rng(5)
+    rows, expected = [], []
+    for i in range(60):
+        links = []
+        for first in range(int(rng.integers(1, 4))):
+            p = np.cumsum(rng.integers(1, 16 if i % 3 else 40, int(rng.integers(1, 12))))
+            q = p + int(rng.integers(0, 9)) if i % 2 else rng.permutation(p)
+            pairs = list(zip(p.tolist(), q.tolist(), strict=True))
+            expected += [(i, first, [x for x, _ in c], [y for _, y in c]) for c in sd.chains(pairs)]
+            links += [(x, first, y) for x, y in pairs]
+        rows.append((i, [links[k] for k in rng.permutation(len(links))]))
+    frame = spark.createDataFrame(rows, "id long, links array<struct<pos:int,first_id:long,first_pos:int>>")
+    assert sorted(tuple(r) for r in sd.chain_links(frame, "bigint").collect()) == sorted(expected)

@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import collect_bitmap, drop_stage, grams, in_bitmap, mix, slices, stage_alone, table, word_stream
+from wirelake.llm.common import collect_bitmap, in_bitmap, mix, slices, stage_alone, table, word_stream
 
 #: Words in a seed, and seeds among which the least is chosen: any run of K + PICK - 1 equal words shares a seed.
 K, PICK = 8, 4
@@ -37,14 +38,35 @@ PIECE_WORDS, IDENTITY, TOUCH = 20, 0.7, 8
 PASSAGE_WORDS = 50
 
 
-def minimizers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(seed, position): the least hash of each window of PICK k-mers; one window if there are fewer."""
-    g = mix(grams(words, K))
-    if len(g) == 0:
-        return g, np.zeros(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(g, min(PICK, len(g)))
-    at = np.unique(np.arange(len(view)) + view.argmin(axis=1))
-    return g[at], at
+def kmers(words: np.ndarray) -> np.ndarray:
+    """One 64-bit hash for each run of K words (a power of two): hashes of halves are mixed."""
+    h, size = words, 1
+    if len(words) < K:
+        return np.zeros(0, np.uint64)
+    while size < K:
+        h = mix(h[:-size] * np.uint64(0x9E3779B97F4A7C15) + h[size:])
+        size *= 2
+    return h
+
+
+def minimizers(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, text, position): the least hash of each window of PICK k-mers of each text; one window if a text has fewer."""
+    g = kmers(words)
+    n, most = len(g), np.uint64(2**64 - 1)
+    lengths = np.diff(starts)
+    text = np.repeat(np.arange(len(lengths)), lengths)[:n]
+    place, count = np.arange(n) - starts[text], np.maximum(lengths - K + 1, 0)[text]
+    g = np.concatenate([np.where(place < count, g, most), np.full(PICK - 1, most)])
+    begin = np.flatnonzero((place <= count - PICK) | ((place == 0) & (count > 0)))
+    best, at = g[begin], begin
+    for j in range(1, PICK):
+        other = g[begin + j]
+        less = other < best
+        best, at = np.where(less, other, best), np.where(less, begin + j, at)
+    chosen = np.zeros(n, bool)
+    chosen[at] = True
+    at = np.flatnonzero(chosen)
+    return g[at], text[at], place[at]
 
 
 class Fenwick:
@@ -253,21 +275,38 @@ def seeds_of(rows: DataFrame, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch):
-                hashes, starts = word_stream(texts)
-                seeds, places, owner = [], [], []
-                for i in range(len(texts)):
-                    s, at = minimizers(hashes[starts[i] : starts[i + 1]])
-                    seeds.append(s)
-                    places.append(at)
-                    owner.append(np.full(len(s), i))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(seeds).view(np.int64)), part.column("id").take(pa.array(np.concatenate(owner).astype(np.int64))), pa.array(np.concatenate(places).astype(np.int32))],
-                    names=["seed", "id", "pos"],
-                )
+                seeds, owner, places = minimizers(*word_stream(texts))
+                yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), part.column("id").take(pa.array(owner)), pa.array(places.astype(np.int32))], names=["seed", "id", "pos"])
 
     return rows.where("id is not null").mapInArrow(run, f"seed long, id {kind}, pos int")
 
 
+def first_links(seeds: DataFrame, kind: str) -> DataFrame:
+    """(id, pos, first_id, first_pos): each place of a seed (seed, id, pos) with the seed's first place, where that is in another document.
+
+    The places of a seed come one after another in their order, so one row is kept in mind whatever a seed's number of places.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []  # the first place of the last seed
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([*kept, batch]).combine_chunks()
+            seed, ids, pos = (rows.column(c).chunk(0) for c in ("seed", "id", "pos"))
+            seed = seed.to_numpy()
+            begin = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
+            first = np.repeat(begin, np.diff(np.append(begin, len(seed))))
+            later = np.flatnonzero(first != np.arange(len(seed)))
+            own, other = pa.array(later), pa.array(first[later])
+            out = pa.RecordBatch.from_arrays([ids.take(own), pos.take(own), ids.take(other), pos.take(other)], names=["id", "pos", "first_id", "first_pos"])
+            yield out.filter(pc.not_equal(out.column("id"), out.column("first_id")))
+            kept = rows.slice(int(first[-1]), 1).combine_chunks().to_batches()
+
+    in_order = seeds.repartition("seed").sortWithinPartitions("seed", "id", "pos")
+    return in_order.mapInArrow(run, f"id {kind}, pos int, first_id {kind}, first_pos int")
+
+
 def word_arrays(rows: DataFrame, kind: str, wanted: DataFrame) -> DataFrame:
     """(id, words): 32-bit word hashes of the wanted ids; a bitmap thins the scan, an exact semi-join follows."""
     bitmap = collect_bitmap(wanted, F.xxhash64("id"))
@@ -288,26 +327,45 @@ def word_arrays(rows: DataFrame, kind: str, wanted: DataFrame) -> DataFrame:
 
 
 def chain_links(links: DataFrame, kind: str) -> DataFrame:
-    """(chain, id, first_id, places, firsts) from (id, links): every chain of every pair of documents."""
+    """(id, first_id, places, firsts) from (id, links): every chain of every pair of documents.
+
+    Links of a pair on one diagonal, each less than LINK / GAP words after the one before, are one chain whatever else holds:
+    each raises the score, and the one before is the best to come from. Other pairs' chains are looked for.
+    """
+    near = LINK / GAP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, firsts, here, there = [], [], [], []
-            for row, found in zip(range(batch.num_rows), batch.column("links").to_pylist(), strict=True):
-                by: dict = {}
-                for x in found:
-                    by.setdefault(x["first_id"], []).append((x["pos"], x["first_pos"]))
-                for first, pairs in by.items():
-                    for chain in chains(pairs):
-                        ids.append(row)
-                        firsts.append(first)
-                        here.append([p for p, _ in chain])
-                        there.append([q for _, q in chain])
-            own = batch.column("id")
-            yield pa.RecordBatch.from_arrays(
-                [own.take(pa.array(ids, pa.int64())), pa.array(firsts, own.type), pa.array(here, pa.list_(pa.int32())), pa.array(there, pa.list_(pa.int32()))],
-                names=["id", "first_id", "places", "firsts"],
-            )
+            own, found = batch.column("id"), batch.column("links")
+            flat = dict(zip((f.name for f in found.type.value_type), found.flatten().flatten(), strict=True))
+            p, q = (flat[c].to_numpy().astype(np.int64) for c in ("pos", "first_pos"))
+            if not len(p):
+                continue
+            firsts = flat["first_id"].dictionary_encode()
+            row, other = np.repeat(np.arange(batch.num_rows), np.diff(found.offsets.to_numpy())), firsts.indices.to_numpy()
+            order = np.lexsort((q, p, other, row))
+            p, q, row, other = p[order], q[order], row[order], other[order]
+            begins = np.concatenate([[True], (row[1:] != row[:-1]) | (other[1:] != other[:-1])])
+            step, shift = np.diff(p, prepend=0), np.diff(p - q, prepend=0)
+            odd = ~begins & ((shift != 0) | (step <= 0) | (step >= near))
+            begin = np.flatnonzero(begins)
+            plain = np.add.reduceat(odd.astype(np.int64), begin) == 0
+            size = np.diff(np.append(begin, len(p)))
+
+            def rows(at: np.ndarray, places: np.ndarray, theirs: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (places, theirs)]
+                return pa.RecordBatch.from_arrays([own.take(pa.array(row[at])), firsts.dictionary.take(pa.array(other[at])), *lists], names=["id", "first_id", "places", "firsts"])  # noqa: B023
+
+            inside = np.repeat(plain, size)
+            yield rows(begin[plain], p[inside], q[inside], size[plain])
+            at, chained = [], []
+            for lo, n in zip(begin[~plain].tolist(), size[~plain].tolist(), strict=True):
+                for chain in chains(list(zip(p[lo : lo + n].tolist(), q[lo : lo + n].tolist(), strict=True))):
+                    at.append(lo)
+                    chained.append(chain)
+            both = np.array([x for chain in chained for x in chain], np.int64).reshape(-1, 2)
+            yield rows(np.array(at, np.int64), both[:, 0], both[:, 1], np.array([len(c) for c in chained], np.int64))
 
     return links.mapInArrow(run, f"id {kind}, first_id {kind}, places array<int>, firsts array<int>")
 
@@ -534,13 +592,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     rows = one_row_for_each_id(rows)
-    seeds = stage_alone(seeds_of(rows, kind), "substring-seeds")
-    first = seeds.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("last"))
-    shared = stage_alone(first.where("first.id < last").select("seed", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos")), "substring-shared")
-    links = seeds.join(shared, "seed").where("id > first_id").groupBy("id").agg(F.collect_list(F.struct("pos", "first_id", "first_pos")).alias("links"))
+    links = first_links(seeds_of(rows, kind), kind).groupBy("id").agg(F.collect_list(F.struct("pos", "first_id", "first_pos")).alias("links"))
     found = stage_alone(chain_links(links, kind).withColumn("chain", F.monotonically_increasing_id()), "substring-chains")
-    drop_stage(seeds)
-    drop_stage(shared)
     ends = [(F.col(c)[0], F.element_at(c, -1) + K) for c in ("places", "firsts")]
     low = [F.greatest(F.lit(0), a - FLANK) for a, _ in ends]
     asked = [found.select("chain", F.col(i).alias("id"), lo.alias("lo"), (b + FLANK).alias("hi")) for i, lo, (_, b) in zip(("id", "first_id"), low, ends, strict=True)]
